@@ -130,7 +130,7 @@ def _linker(n_index: int, n_verify: int, min_match: int, max_bits: int):
             w = rows[:, 4:].view(np.uint64)
             two = starts[ends - starts == 2]
             diff = w[two] ^ w[two + 1]
-            same = (np.ascontiguousarray(diff[:, :n_index]).view(np.uint8).reshape(len(two), -1) == 0).sum(1) >= min_match
+            same = (np.ascontiguousarray(diff[:, :n_index]).view(np.uint8).reshape(len(two), 8 * n_index) == 0).sum(1) >= min_match
             ok = two[same & (np.bitwise_count(diff[:, -n_verify:]).sum(1, dtype=np.int64) <= max_bits)]
             out = list(zip(rows[ok, 3].tolist(), rows[ok + 1, 3].tolist(), strict=True))
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
