@@ -108,4 +108,7 @@ def gather(parts: list[bytes], kind: str, at: np.ndarray, offsets: np.ndarray) -
     own = sizes[at]
     before = np.cumsum(own) - own
     total = np.concatenate((before, [own.sum()]))[offsets]
-    return flat[np.repeat(starts[at] - before, own) + np.arange(own.sum())] if len(flat) else flat, np.diff(total)
+    if not len(flat):
+        return flat, np.diff(total)
+    small = np.int32 if max(len(flat), own.sum()) < 1 << 31 else np.int64
+    return flat[np.repeat((starts[at] - before).astype(small), own) + np.arange(own.sum(), dtype=small)], np.diff(total)

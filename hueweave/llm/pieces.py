@@ -11,6 +11,7 @@ piece on its left with which it would not have merged. Both read a piece's admis
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from hueweave.llm.common import gather, split_words
 
 MARK = "▁"
 #: Words kept from batch to batch, and the longest of these.
-CACHE, CACHE_CHARS = 600_000, 48
+CACHE, CACHE_CHARS = 400_000, 48
 
 
 def model_path() -> str:
@@ -45,12 +46,18 @@ class Vocabulary:
         self.ids = {sp.id_to_piece(i): i for i in n if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in n if sp.is_byte(i)}
-        self.longest = max(map(len, self.ids))
+        self._tails: dict[str, bool] = {}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces that go on past a word's end: words of this model can't be encoded apart")
         back = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()} | {self.unk: " ⁇ ".encode()}
         self.raw = [back.get(i, b"") for i in n]
 
+    def tails(self) -> dict[str, bool]:
+        """Every ending of a piece, and whether it is one itself."""
+        if not self._tails:
+            self._tails = {p[i:]: False for p in self.scores for i in range(len(p))} | dict.fromkeys(self.scores, True)
+        return self._tails
+
     def symbol(self, piece: str) -> list[int]:
         """Ids of a piece, or of the bytes of a character that is none."""
         if piece in self.ids:
@@ -62,7 +69,7 @@ class WordEncoder:
     """Encodes sorted words by forward states along a trie."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.steps_of, self.beside = vocabulary, {}, {}
+        self.v, self.steps_of, self.beside, self.pairs = vocabulary, {}, {}, 0
 
     def steps(self, piece: str):
         """The merges that make `piece` alone: (score, its first symbol then, its last symbol then); None if they don't end in it."""
@@ -84,12 +91,15 @@ class WordEncoder:
 
     def apart(self, left: str, right: str) -> bool:
         """Whether merging `left + right` leaves just these two."""
-        key = (left, right)
-        got = self.beside.get(key)
+        known = self.beside.get(left)
+        if known is None:
+            known = self.beside[left] = {}
+        got = known.get(right)
         if got is None:
-            if len(self.beside) > 500_000:
-                self.beside.clear()
-            got = self.beside[key] = self._apart(left, right)
+            if self.pairs > 500_000:
+                self.beside, self.pairs, known = {}, 0, {}
+            self.pairs += 1
+            got = known[right] = self._apart(left, right)
         return got
 
     def _apart(self, left: str, right: str) -> bool:
@@ -112,7 +122,7 @@ class WordEncoder:
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
         """words: distinct; each with its marks. Returns their ids."""
-        v, out, before = self.v, {}, ""
+        ids, scores, tails, bpe, out, before = self.v.ids, self.v.scores, self.v.tails(), self.v.kind == "bpe", {}, ""
         last: list[str] = [""]  # of each prefix, the last piece
         forward: list[float] = [0.0]  # of each prefix, its score
         for word in sorted(words):
@@ -121,24 +131,36 @@ class WordEncoder:
                 shared += 1
             del last[shared + 1 :], forward[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
+                # the pieces that end here, shortest first: no longer one if what stands here ends no piece
+                start, starts = end - 1, []
+                while start >= 0 and (known := tails.get(word[start:end])) is not None:
+                    if known:
+                        starts.append(start)
+                    start -= 1
+                if not starts or starts[0] != end - 1:
+                    starts.insert(0, end - 1)  # a character that is no piece stands for itself
                 best, score = "", float("-inf")
-                for start in range(max(0, end - v.longest), end):
-                    piece = word[start:end]
-                    if piece not in v.scores and end - start > 1:
-                        continue
-                    if v.kind == "bpe":
-                        if (start == 0 and self.steps(piece) is not None) or (start and self.apart(last[start], piece)):
-                            best, score = piece, forward[start] + v.scores.get(piece, 0.0)
+                if bpe:
+                    for start in reversed(starts):
+                        piece = word[start:end]
+                        if self.apart(last[start], piece) if start else self.steps(piece) is not None:
+                            best, score = piece, forward[start] + scores.get(piece, 0.0)
                             break
-                    elif (s := forward[start] + v.scores.get(piece, -1e6)) > score:
-                        best, score = piece, s
+                else:
+                    for start in starts:
+                        piece = word[start:end]
+                        if (s := forward[start] + scores.get(piece, -1e6)) > score:
+                            best, score = piece, s
                 last.append(best)
                 forward.append(score)
-            ids, end = [], len(word)
+            parts, end = [], len(word)
             while end:
-                ids.append(v.symbol(last[end]))
+                parts.append(last[end])
                 end -= len(last[end])
-            out[word], before = [i for s in reversed(ids) for i in s], word
+            parts.reverse()
+            row = [*map(ids.get, parts)]
+            out[word] = [i for p in parts for i in self.v.symbol(p)] if None in row else row
+            before = word
         return out
 
 
@@ -165,7 +187,7 @@ class Encoder:
         whole = {i: marked_words(texts[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
         cache = self.cache
         new = {w for own in (words, *whole.values()) for w in own if w not in cache}
-        got = {w[1:]: np.array(ids, "<i4").tobytes() for w, ids in self.words.encode([MARK + w for w in new]).items()}
+        got = {w[1:]: struct.pack(f"<{len(ids)}i", *ids) for w, ids in self.words.encode([MARK + w for w in new]).items()}
         cache.update(got)
         parts, at = list(map(cache.__getitem__, words)), at.copy()
         # an empty text has no word; one with other runs of spaces is a part of its own
