@@ -8,6 +8,7 @@ twice writes the same file twice, so lost executors leave nothing half written.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,7 +26,7 @@ from hueweave.llm.common import cut, gather, shared_dir, split_words
 #: White space for Python or for the tokenizers library, for RE2.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Words kept from batch to batch, and the longest of these; sequences in a record batch.
-CACHE, CACHE_CHARS, SEQUENCES = 1_000_000, 48, 256
+CACHE, CACHE_CHARS, SEQUENCES = 400_000, 48, 256
 
 
 def tokenizer_path() -> str:
@@ -46,6 +47,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
@@ -63,8 +65,13 @@ class WordEncoder:
         words, at, offsets = split_words(pc.if_else(odd, "", texts))
         cache = self.cache
         new = [w for w in words if w not in cache]
-        self._strung([w for w in new if w and not w[-1].isspace()])
-        self._single([w for w in new if not w or w[-1].isspace()])
+        alone = [w for w in new if w[-1:].isspace() or not w]
+        self._single(alone)
+        if alone:
+            held = set(alone)
+            self._strung([w for w in new if w not in held])
+        else:
+            self._strung(new)
         parts, at = list(map(cache.__getitem__, words)), at.copy()
         for w in new:
             if len(w) > CACHE_CHARS:
@@ -190,7 +197,8 @@ class _Writer:
 
     def flush(self, last: bool) -> None:
         values = np.concatenate(self.held) if self.held else np.empty(0, self.kind)
-        full = len(values) if last else len(values) // self.length * self.length
+        per = SEQUENCES * self.length  # every batch but the last is full, so that numbers lead to batches
+        full = len(values) if last else len(values) // per * per
         rows = -(-full // self.length)
         for i in range(0, rows, SEQUENCES):
             part = values[i * self.length : min(full, (i + SEQUENCES) * self.length)]
@@ -224,10 +232,17 @@ class TokenFile:
         opened = (lambda p: pa.memory_map(p)) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file
         self.file, self.index = ipc.open_file(opened(path)), ipc.open_file(opened(f"{path}-index"))
         self.length = self.file.schema.field("ids").type.list_size
+        self.at, self.batch = -1, None
+
+    def _batch(self, i: int) -> pa.RecordBatch:
+        """Batch i; the last one is held, as asking the reader for it again costs more than all else."""
+        if i != self.at:
+            self.at, self.batch = i, self.file.get_batch(i)
+        return self.batch
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence i."""
-        batch, at = self.file.get_batch(i // SEQUENCES), i % SEQUENCES
+        batch, at = self._batch(i // SEQUENCES), i % SEQUENCES
         ids, mask = batch.column(0), batch.column(1)
         return ids.values.to_numpy()[at * self.length : (at + 1) * self.length], mask.values.slice(at * self.length, self.length).to_numpy(zero_copy_only=False)
 
@@ -235,8 +250,10 @@ class TokenFile:
         """The ids from number `start` on."""
         parts, per = [], SEQUENCES * self.length
         while n > 0:
-            values = self.file.get_batch(start // per).column(0).values.to_numpy()
+            values = self._batch(start // per).column(0).values.to_numpy()
             parts.append(values[start % per : start % per + n])
+            if not len(parts[-1]):
+                raise ValueError("tokens beyond the end of the file")
             start, n = start + len(parts[-1]), n - len(parts[-1])
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
