@@ -9,6 +9,7 @@ twice writes the same file twice, so lost executors leave nothing half written.
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 
 from hueweave.llm.common import cut, gather, shared_dir, split_words
 
+#: What may follow letters without joining them, and the characters that stand for bytes that aren't printable in Latin-1.
+PUNCTUATION = ".,;:!?*$%&#"
+BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: White space for Python or for the tokenizers library, for RE2.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Words kept from batch to batch, and the longest of these; sequences in a record batch.
-CACHE, CACHE_CHARS, SEQUENCES = 400_000, 48, 256
+CACHE, CACHE_CHARS, SEQUENCES = 600_000, 48, 256
 
 
 def tokenizer_path() -> str:
@@ -53,6 +57,7 @@ class WordEncoder:
         self.t.no_padding()
         self.kind = "<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.sizes = np.zeros(max(self.t.get_vocab(with_added_tokens=True).values()) + 1, np.int64)  # bytes of each id: one character stands for one byte
         for piece, i in self.t.get_vocab(with_added_tokens=True).items():
             self.sizes[i] = len(piece)
@@ -64,7 +69,7 @@ class WordEncoder:
         odd = pc.match_substring_regex(texts, f"{SPACE} (?:{SPACE}|\\z)")  # runs of spaces that are not cut before their last
         words, at, offsets = split_words(pc.if_else(odd, "", texts))
         cache = self.cache
-        new = [w for w in words if w not in cache]
+        new = self._plain([w for w in words if w not in cache])
         alone = [w for w in new if w[-1:].isspace() or not w]
         self._single(alone)
         if alone:
@@ -73,9 +78,9 @@ class WordEncoder:
         else:
             self._strung(new)
         parts, at = list(map(cache.__getitem__, words)), at.copy()
-        for w in new:
+        for w in words:
             if len(w) > CACHE_CHARS:
-                del cache[w]
+                cache.pop(w, None)
         if len(cache) > CACHE:
             self.cache = {}
         # the first word of a text has no space before it
@@ -90,6 +95,28 @@ class WordEncoder:
             out[i] = own
         return out
 
+    def _plain(self, words: list[str]) -> list[str]:
+        """Caches words of Latin letters, with or without punctuation after them; returns the rest.
+
+        A space and letters are one unit of the pre-tokenizer and so is the punctuation, so both go straight to the model.
+        """
+        cache, tokenize, rest, pack = self.cache, self.t.model.tokenize, [], "H" if self.kind == "<u2" else "I"
+        for w in words:
+            base = w.rstrip(PUNCTUATION)
+            if not base.isalpha() or len(w) > CACHE_CHARS or (not base.isascii() and max(base) > "\u024f"):
+                rest.append(w)
+                continue
+            own = cache.get(base)
+            if own is None:
+                ids = [x.id for x in tokenize("Ġ" + (base if base.isascii() else base.encode().decode("latin-1").translate(BYTE_CHARS)))]
+                own = cache[base] = struct.pack(f"<{len(ids)}{pack}", *ids)
+            if len(base) < len(w):
+                mark = w[len(base) :]
+                if mark not in self.marks:
+                    self.marks[mark] = self._library([mark])[0]
+                cache[w] = own + self.marks[mark]
+        return rest
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
