@@ -82,7 +82,7 @@ class WordEncoder:
             if len(w) > CACHE_CHARS:
                 cache.pop(w, None)
         if len(cache) > CACHE:
-            self.cache = {}
+            self.cache, self.marks = {}, {}
         # the first word of a text has no space before it
         firsts = [words[i] for i in at[offsets[:-1]].tolist()]
         at[offsets[:-1]] = len(parts) + np.arange(len(firsts))

@@ -72,7 +72,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     Rows with a null id, a null vector or one with a null or non-finite component take no part. A query doesn't meet rows
     of its own id; a repeated query id counts once, a repeated candidate as often as it occurs. Shorter vectors count as
-    filled with 0. Scores beyond a long are held at its ends. Other columns are not read. Empty tables give an empty table.
+    filled with 0. Local scores beyond 2^62 are held there. Other columns are not read. Empty tables give an empty table.
     """
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where(F.col("vec_id").isNotNull() & _usable("v"))
     cands, asked = pick(vectors), pick(queries)
