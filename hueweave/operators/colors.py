@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.functions.bases import MAX_MASK_FILES, canonical_code, popcount
+from hueweave.functions.bases import MAX_MASK_FILES, popcount, revcomp_code
 from hueweave.operators.kmers import kmer_files, kmer_masks
 
 
@@ -70,9 +70,12 @@ def neighbours(kmers: DataFrame, k: int) -> DataFrame:
 
     One join on the k-mer; kmers holds distinct canonical longs.
     """
-    mask = (1 << 2 * k) - 1
-    tried = kmers.select("kmer", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select("kmer", F.when(F.col("i") < 4, "right").otherwise("left").alias("side"), F.pmod("i", F.lit(4)).cast("long").alias("base"))
-    right = F.shiftleft("kmer", 2).bitwiseAND(F.lit(mask).cast("long")).bitwiseOR(F.col("base"))
-    left = F.shiftright("kmer", 2).bitwiseOR(F.shiftleft("base", 2 * (k - 1)))
-    tried = tried.withColumn("neighbour", canonical_code(F.when(F.col("side") == "right", right).otherwise(left), k))
-    return tried.join(kmers.select(F.col("kmer").alias("neighbour")), "neighbour").select("kmer", "neighbour", "side", F.col("base").cast("int").alias("base"))
+    mask, top = F.lit((1 << 2 * k) - 1).cast("long"), 2 * (k - 1)
+    # the reverse complement of a neighbour follows from that of the k-mer, which is worked out once, before the rows multiply
+    own = kmers.select("kmer", revcomp_code("kmer", k).alias("rc"))
+    tried = own.select("kmer", "rc", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select("kmer", "rc", (F.col("i") < 4).alias("on_right"), F.pmod("i", F.lit(4)).cast("long").alias("base"))
+    other = F.lit(3).cast("long") - F.col("base")
+    right = F.least(F.shiftleft("kmer", 2).bitwiseAND(mask).bitwiseOR(F.col("base")), F.shiftright("rc", 2).bitwiseOR(F.shiftleft(other, top)))
+    left = F.least(F.shiftright("kmer", 2).bitwiseOR(F.shiftleft("base", top)), F.shiftleft("rc", 2).bitwiseAND(mask).bitwiseOR(other))
+    tried = tried.select("kmer", F.when(F.col("on_right"), right).otherwise(left).alias("neighbour"), F.when(F.col("on_right"), "right").otherwise("left").alias("side"), F.col("base").cast("int").alias("base"))
+    return tried.join(kmers.select(F.col("kmer").alias("neighbour")), "neighbour").select("kmer", "neighbour", "side", "base")
