@@ -25,7 +25,7 @@ from hueweave.llm.common import gather, split_words
 
 MARK = "▁"
 #: Words kept from batch to batch, and the longest of these.
-CACHE, CACHE_CHARS = 400_000, 48
+CACHE, CACHE_CHARS = 250_000, 48
 
 
 def model_path() -> str:
@@ -96,7 +96,7 @@ class WordEncoder:
             known = self.beside[left] = {}
         got = known.get(right)
         if got is None:
-            if self.pairs > 500_000:
+            if self.pairs > 250_000:
                 self.beside, self.pairs, known = {}, 0, {}
             self.pairs += 1
             got = known[right] = self._apart(left, right)
@@ -231,7 +231,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kin
     return kept.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, at: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, at: int, most: int = 5_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, so that ids and decoded texts of a batch stay small."""
     n = batch.num_rows
     step = max(1, int(n * most / max(1, batch.column(at).nbytes)))
