@@ -201,13 +201,12 @@ def pack_unpack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decompressed(spark: SparkSession, d: str, wanted: tuple[str, ...] | None) -> DataFrame:
-    """K-mers of each file from strings by colour: the directory is filtered, strings join it, files are read off the colour."""
-    own = strings(spark, d)
-    files = spark.createDataFrame([(i, f"src{i}") for i in range(N_FILES)], "file_id int, source string")
-    if wanted is not None:
-        files = files.where(F.col("source").isin(*wanted))
-    directory = own.select("color").distinct().select("color", F.explode(B.color_files("color", N_FILES)).alias("file_id")).join(F.broadcast(files), "file_id")
-    got = own.join(directory.select("color", "source"), "color").select("source", "seq")
+    """K-mers of each file from strings by colour: colours without a wanted file go first, files are read off the colour."""
+    names = {i: f"src{i}" for i in range(N_FILES)}
+    asked = [i for i, name in names.items() if wanted is None or name in wanted]
+    files = spark.createDataFrame([(i, names[i]) for i in asked], "file_id int, source string")
+    own = strings(spark, d).where(F.col("color").bitwiseAND(F.lit(sum(1 << i for i in asked)).cast("long")) != 0)
+    got = own.select("seq", F.explode(B.color_files("color", N_FILES)).alias("file_id")).join(F.broadcast(files), "file_id").select("source", "seq")
     return canonical_strings(got, K).groupBy("source").agg(n(), digest("kmer"))
 
 
