@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hueweave.functions.bases import packed_size
+from hueweave.operators.running import running_sum
 
 
 def kmers_per_color(simplitigs: DataFrame, k: int = 31) -> DataFrame:
@@ -23,12 +24,16 @@ def kmers_per_popcount(simplitigs: DataFrame, k: int = 31) -> DataFrame:
     return simplitigs.groupBy(n.cast("int").alias("popcount")).agg(F.sum(F.col("len") - k + 1).cast("long").alias("n_kmers"))
 
 
-def color_directory(strings: DataFrame) -> DataFrame:
-    """(color, n_simplitigs, lens, size, start_offset, end_offset) of (color, len, seq): buckets in ascending order of colour.
+def color_directory(strings: DataFrame, lens: bool = False) -> DataFrame:
+    """(color, n_simplitigs, bases, size, start_offset, end_offset) of (color, len, seq): buckets in ascending order of colour.
 
-    Sizes are packed bytes. The running sum is over colours, not strings: one row each.
+    Sizes are packed bytes, summed up over ranges of colours. With `lens` a column of that name lists the lengths in the
+    order of the strings; a list of its strings' lengths is as long as a colour is large, so archives go without.
     """
-    own = strings.groupBy("color").agg(F.count("*").alias("n_simplitigs"), F.sum(packed_size("len")).cast("long").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "len"))), lambda x: x["len"]).alias("lens"))
-    order = Window.orderBy("color").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum("size").over(order).cast("long")
-    return own.select("color", "n_simplitigs", "lens", "size", (end - F.col("size")).alias("start_offset"), end.alias("end_offset"))
+    own = strings.groupBy("color").agg(F.count("*").alias("n_simplitigs"), F.sum("len").cast("long").alias("bases"), F.sum(packed_size("len")).cast("long").alias("size"))
+    placed = running_sum(own, ["color"], F.col("size"), "end_offset")
+    placed = placed.select("color", "n_simplitigs", "bases", "size", (F.col("end_offset") - F.col("size")).alias("start_offset"), "end_offset")
+    if not lens:
+        return placed
+    listed = strings.groupBy("color").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "len"))), lambda x: x["len"]).alias("lens"))
+    return placed.join(listed, "color")

@@ -183,7 +183,7 @@ def simplitig_length_stats(spark: SparkSession, d: str) -> DataFrame:
 select color, n_simplitigs, size, bases, (sum(size) over (order by color) - size)::bigint as start_offset, (sum(size) over (order by color))::bigint as end_offset from sizes""")
 def color_directory_sizes(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d).select(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("file_id")).alias("color"), F.length("seq").alias("len"), "seq")
-    return stats.color_directory(rows).select("color", "n_simplitigs", "size", F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("bases"), "start_offset", "end_offset")
+    return stats.color_directory(rows).select("color", "n_simplitigs", "size", "bases", "start_offset", "end_offset")
 
 
 @_query("length_histogram", "with " + _SEQS.format(k=K) + " select length(seq)::int as len, count(*) as n_simplitigs from seqs group by 1")

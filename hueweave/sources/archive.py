@@ -1,16 +1,18 @@
 """The archive: Parquet tables `files`, `colors` and `simplitigs`, the last clustered by colour.
 
 colors is the directory: one row a colour with its id (0 is the colour of all files, if there is one), its mask or
-files, text form, string lengths, packed size and offsets. simplitigs is range-partitioned and sorted by color_id, so a
-reader that wants some colours skips row groups by their statistics.
+files, text form, bases, packed size and offsets; the lengths of its strings stand beside them in simplitigs.
+simplitigs is range-partitioned and sorted by color_id, so a reader that wants some colours skips row groups by their
+statistics.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hueweave.functions.bases import MAX_MASK_FILES, color_files, color_string
+from hueweave.operators.running import running_sum
 from hueweave.operators.stats import color_directory
 
 
@@ -24,11 +26,12 @@ def write_archive(path: str, files: DataFrame, simplitigs: DataFrame, k: int) ->
     simplitigs.write.mode("overwrite").parquet(f"{path}/unsorted")
     strings = spark.read.parquet(f"{path}/unsorted")
     listed = color_directory(strings)
-    rank = F.row_number().over(Window.orderBy((size < n).cast("int"), "color")) - F.lit(1)
-    named = listed.withColumn("color_id", rank + F.when(F.max((size == n).cast("int")).over(Window.partitionBy()) == 1, 0).otherwise(1))
+    # numbers from 1 in the order of the colours; the colour of all files, a single row, is 0
+    some, whole = running_sum(listed.where(size < n), ["color"], F.lit(1), "color_id"), listed.where(size == n).withColumn("color_id", F.lit(0).cast("long"))
+    named = some.unionByName(whole)
     text = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_contains("color", i.cast("int")).cast("int").cast("string"))) if wide else color_string("color", n)
     members = F.col("color") if wide else color_files("color", n)
-    named.select("color_id", "color", members.alias("file_ids"), text.alias("text"), "n_simplitigs", "lens", "size", "start_offset", "end_offset").write.mode("overwrite").parquet(f"{path}/colors")
+    named.select("color_id", "color", members.alias("file_ids"), text.alias("text"), "n_simplitigs", "bases", "size", "start_offset", "end_offset").write.mode("overwrite").parquet(f"{path}/colors")
     colors = spark.read.parquet(f"{path}/colors").select("color_id", "color")
     dealt = strings.join(colors, "color").select("color_id", "len", "seq").repartitionByRange("color_id", "seq").sortWithinPartitions("color_id", "seq")
     dealt.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/simplitigs")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from hueweave.__main__ import main
 from hueweave.functions import bases as B
-from hueweave.operators import colors, stats
+from hueweave.operators import colors, running, stats
 from hueweave.operators.kmers import canonical_strings, codes_of, kmer_files, occurrences, window_strings
 from hueweave.operators.simplitigs import glue, simplitigs
 from hueweave.plans import queries
@@ -185,8 +185,31 @@ def test_glue_is_maximal():
 
 def test_directory(spark):
     rows = spark.createDataFrame([(2, 5, "ACGTA"), (1, 3, "ACG"), (2, 4, "ACGT")], "color long, len int, seq string")
-    got = [tuple(r) for r in stats.color_directory(rows).orderBy("color").collect()]
-    assert got == [(1, 1, [3], 1, 0, 1), (2, 2, [4, 5], 3, 1, 4)]
+    got = [tuple(r) for r in stats.color_directory(rows, lens=True).orderBy("color").collect()]
+    assert got == [(1, 1, 3, 1, 0, 1, [3]), (2, 2, 9, 3, 1, 4, [4, 5])]
+    assert stats.color_directory(rows.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running(spark, parts):
+    """Sums and followers over ranges are those of one sorted list, whatever the number of ranges."""
+    rng = random.Random(parts)
+    keys = rng.sample(range(-500, 500), 300)
+    df = spark.createDataFrame([(k, k % 11) for k in keys], "k long, v long")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        sums = {r.k: r.s for r in running.running_sum(df, ["k"], F.col("v"), "s").collect()}
+        after = {r.k: r.x for r in running.following(df, "k", "x").collect()}
+        assert running.following(df.limit(0), "k", "x").count() == 0
+        assert running.following(df.where("k = 1").union(spark.sql("select 1L, 1L")).limit(1), "k", "x").first().x == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keys.sort()
+    assert sums == {k: sum(x % 11 for x in keys[: i + 1]) for i, k in enumerate(keys)}
+    assert after == dict(zip(keys, keys[1:] + keys[:1]))
 
 
 def fasta(path, seqs, width=60, end="\n"):
