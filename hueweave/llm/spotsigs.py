@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hueweave.llm.common import arrow_map, components, cut, texts_of
+from hueweave.operators.running import following
 
 #: Content words of a chain, and the common words that anchor one (English, German, French, Spanish).
 CHAIN = 3
@@ -120,9 +121,7 @@ def with_next(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_c
     lowest = -(1 << 62)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.withColumn("g", F.coalesce(F.floor(F.col("id") / WIDTH), F.lit(lowest)).cast("long")).withColumn("i", F.coalesce("id", F.lit(lowest)))
-    heads = own.groupBy("g").agg(F.max("i").alias("i"))
-    up = Window.orderBy("g")
-    heads = cut(heads.withColumn("to", F.lead("g").over(up)).withColumn("to", F.coalesce("to", F.min("g").over(Window.partitionBy()))))
+    heads = cut(following(own.groupBy("g").agg(F.max("i").alias("i")), "g", "to"))
     tops = heads.select("g", "i", "to")
     first = own.join(F.broadcast(tops) if heads.count() <= HEADS else tops, ["g", "i"]).groupBy(F.col("to").alias("g")).agg(F.min("text").alias("text"))
     extra = first.select(F.lit(None).cast("long").alias("id"), "text", "g", F.lit(None).cast("long").alias("i"), F.lit(True).alias("borrowed"))
