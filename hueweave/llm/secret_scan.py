@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -36,7 +37,7 @@ PATTERNS = {
     "web token": r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
     "private key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)",
     "bearer": r"(?i)\b(?:bearer|basic) ([A-Za-z0-9._~+/-]{16,}=*)",
-    "in address": r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{4,})@",
+    "in address": r"[a-z][a-z0-9+.-]{0,20}://[^\s:/@]+:([^\s:/@]{4,})@",
     "random": r"([A-Za-z0-9+/_=-]{24,})",
 }
 TRIGGERS = ("token", "secret", "key", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials", "login", "export")
@@ -48,13 +49,16 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of non-overlapping candidates; of those that overlap, the first named in PATTERNS."""
     out: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS.items():
+        starts, new = [c[0] for c in out], []  # out is sorted and free of overlaps, and so are the matches of a pattern
         for m in re.finditer(pattern, text):
             s, e = m.span(1)
             if kind == "random" and not (re.search(r"\d", m[1]) and re.search(r"[A-Za-z]", m[1])):
                 continue
-            if not any(s < b and a < e for a, b, _ in out):
-                out.append((s, e, kind))
-    return sorted(out)
+            at = bisect_left(starts, e)
+            if not at or out[at - 1][1] <= s:
+                new.append((s, e, kind))
+        out = sorted(out + new)
+    return out
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -213,10 +217,9 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", size_col: st
             new: dict[int, str] = {}
             for i, text, found in _findings(batch.column(at).fill_null(""), forest):
                 gone = [f for f in found if f[3] >= threshold]
-                for s, e, *_ in reversed(gone):
-                    text = text[:s] + mark + text[e:]
                 if gone:
-                    new[i] = text
+                    ends = [0, *(f[1] for f in gone)]
+                    new[i] = mark.join([text[a:b] for a, b in zip(ends, [*(f[0] for f in gone), len(text)], strict=True)])
             if new:
                 columns = list(batch.columns)
                 mask = np.zeros(batch.num_rows, bool)

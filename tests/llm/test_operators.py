@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -262,6 +264,30 @@ def test_secrets_scan_and_redact(spark, odd, none):
     assert secret_scan.redact(odd, forest).count() == odd.count() and secret_scan.scan(none, forest).count() == 0
 
 
+def brute_candidates(text):
+    out = []
+    for kind, pattern in secret_scan.PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            if kind == "random" and not (re.search(r"\d", m[1]) and re.search(r"[A-Za-z]", m[1])):
+                continue
+            if not any(m.start(1) < b and a < m.end(1) for a, b, _ in out):
+                out.append((*m.span(1), kind))
+    return sorted(out)
+
+
+def test_secrets_candidates():
+    """Overlaps are settled as by comparing every pair; huge runs and lists take no more than a little time."""
+    rng = random.Random(8)
+    parts = ["token=", "secret: ", "AKIA" + "Q7" * 8, "eyJabcdefgh.eyJabcdefgh.abcdefgh1", "ghp_" + "a1B" * 8, "https://me:pass1word@host", "a1" * 20, " ", '"', "bearer ", "/x", "@"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert secret_scan.candidates(text) == brute_candidates(text)
+    began = time.time()
+    assert [c[2] for c in secret_scan.candidates("ab" * 500_000 + "1 x://u:passw0rd@h")] == ["random", "in address"]
+    assert len(secret_scan.candidates("0123456789abcdef0123456789abcdef " * 30_000)) == 30_000
+    assert time.time() - began < 20
+
+
 # op6 -----------------------------------------------------------------------------------------------------------------
 
 
