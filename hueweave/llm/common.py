@@ -67,21 +67,35 @@ def mix64(h: np.ndarray, salt: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+#: A node with over 1 / HUBS of all edges is a hub; so there are under HUBS of them in any list of edges.
+HUBS = 1000
+
+
+def _with_least(rows: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """rows with m, the least `value` of their key; rows has `total` rows at most.
+
+    The least values of hubs are broadcast (under HUBS rows), so their rows stay where they are; the others are joined by key.
+    """
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("d"))
+    hot = F.broadcast(least.where(F.col("d") > total / HUBS).select(key, "m"))
+    cold = least.where(F.col("d") <= total / HUBS).select(key, "m")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of an edge: root is the smallest node reachable.
 
     Alternating large and small stars; each round is two joins on the edge list and its lineage is cut, so a lost
-    executor costs one round. An edge list without edges gives an empty table.
+    executor costs one round. The edges of a hub meet in no task. An edge list without edges gives an empty table.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = lambda df: df.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(e)
     while seen[0]:
         near = e.select(F.col("u").alias("n"), F.col("v").alias("o")).union(e.select("v", "u"))
-        least = near.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = near.where("o > n").join(least, "n").select(F.col("o").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        large = _with_least(near, "n", "o", 2 * seen[0]).where("o > n").select(F.col("o").alias("u"), F.least("n", "m").alias("v")).distinct()
+        # a link to the least neighbour stays, the others become links of both ends' neighbours to it
+        small = _with_least(large, "u", "v", seen[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = cut(small.distinct())
         now = mark(e)
         if now == seen:

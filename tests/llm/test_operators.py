@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from hueweave.llm import mixing, pieces, quality, secret_scan, sharding, simhash, spotsigs, token_files, topk, url_filter
+from hueweave.llm import common, mixing, pieces, quality, secret_scan, sharding, simhash, spotsigs, token_files, topk, url_filter
 from hueweave.llm.common import components, shared_dir
 from pyspark.sql import functions as F
 
@@ -60,9 +60,12 @@ def roots(ids, linked):
     return {i: find(i) for i in ids}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hubs", [4, 1000])
+def test_components(spark, monkeypatch, hubs):
+    monkeypatch.setattr(common, "HUBS", hubs)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
+    edges += [(2000, 2001 + i) for i in range(200)] + [(3300, 3000 + i) for i in range(250)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = roots({x for e in edges for x in e}, edges)
     assert got == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
