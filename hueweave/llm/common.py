@@ -58,15 +58,6 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def mix64(h: np.ndarray, salt: int) -> np.ndarray:
-    """A 64-bit finaliser: independent hashes of the same words for each salt."""
-    with np.errstate(over="ignore"):
-        z = h.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
 #: A node with over 1 / HUBS of all edges is a hub; so there are under HUBS of them in any list of edges.
 HUBS = 1000
 

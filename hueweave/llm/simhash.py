@@ -10,6 +10,7 @@ only the edges of a spanning forest leave the list, never its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import LOWER, arrow_map, components, cut, mix64, texts_of
+from hueweave.llm.common import LOWER, arrow_map, components, cut, texts_of
 
 #: A posting list above this many rows is dealt out as pairs of chunks of at most about this size, all of which are compared.
 CHUNK = 20_000
@@ -31,12 +32,6 @@ def steiner_quads() -> list[tuple[int, ...]]:
     return [tuple(i for i in range(8) if w >> i & 1) for w in words if bin(w).count("1") == 4]
 
 
-def random_quads(n_bytes: int, rounds: int, seed: int = 10) -> list[tuple[int, ...]]:
-    """rounds times all positions, dealt out in quadruples."""
-    rng = np.random.default_rng(seed)
-    return [tuple(int(x) for x in q) for _ in range(rounds) for q in rng.permutation(n_bytes).reshape(-1, 4)]
-
-
 def words_of(text: str) -> list[bytes]:
     r"""A-Z lower-cased, words [^\x20\x09-\x0D]+ as UTF-8."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -73,26 +68,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, w0 long")
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_word: int = 4) -> DataFrame:
-    """(id, w0..w3, v0..v3): 256 bits over the set of words of min_word letters or more (all words, if under 8 such),
-    for the index, and 256 bits over the set of shingles, for the verification. A wordless text has zeros."""
-    names = [f"w{i}" for i in range(4)] + [f"v{i}" for i in range(4)]
-
-    def work(c: dict) -> dict:
-        rows = []
-        for t in texts_of(c["text"]):
-            words = words_of(t)
-            own = set(words)
-            long = {w for w in own if len(w) >= min_word}
-            h = np.array([xxhash.xxh64_intdigest(w, 42) for w in (long if len(long) >= 8 else own)], np.uint64)
-            s = np.unique(shingle_hashes(words, shingle))
-            rows.append([majority(mix64(x, i)) for x in (h, s) for i in range(1, 5)])
-        got = np.array(rows, np.uint64).view(np.int64)
-        return {"id": c["id"]} | {n: np.ascontiguousarray(got[:, i]) for i, n in enumerate(names)}
-
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, " + ", ".join(f"{n} long" for n in names))
-
-
 def _key(words: list[str], block: int, quad: tuple[int, ...]) -> Column:
     """The bytes of fingerprint columns `words` at the positions of the block, and the block's number, as one long."""
     parts = [F.shiftleft(F.shiftrightunsigned(F.col(words[p // 8]), 8 * (p % 8)).bitwiseAND(F.lit(255).cast("long")), 8 * i) for i, p in enumerate(quad)]
@@ -203,27 +178,221 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-#: Of 256 bits over the set of five-word shingles, a Jaccard of 0.8 differs in 39 +- 6; unrelated texts in 128 +- 8.
-WIDE_BITS = 48
+#: Least Jaccard of the sets of shingles of two copies.
+ALIKE = 0.8
+#: Bits of the parity sketch, and of a second one of sets of over BITS shingles; about so many texts show which shingles are common; so many
+#: common ones are told apart; rows a list; so many ids are broadcast, more are joined by a shuffle.
+BITS, WIDE, SAMPLE, COMMON, LIST, IDS = 1024, 4096, 5000, 100_000, 2000, 1_000_000
+
+
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's k-word shingles; none for a wordless text."""
+    return np.unique(shingle_hashes(words_of(text), k))
+
+
+def set_key(s: np.ndarray) -> int:
+    """A signed 64-bit digest of a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), 7)).view(np.int64))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = WIDE_BITS, rounds: int = 6, chunk: int = CHUNK) -> DataFrame:
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each of BITS parts of the hashes, whether the part holds an odd number, and of WIDE parts if there are many. Two sets differ in at least as many hashes as bits."""
+    of = lambda bits: np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+    return of(BITS) + (of(WIDE) if len(s) > BITS else b"")
+
+
+def _common(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are in several of about SAMPLE texts, and in how many; COMMON at most."""
+    few = docs.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    work = lambda c: {"h": pa.array([shingle_set(t, k).view(np.int64) for t in texts_of(c["text"])], pa.list_(pa.int64()))}
+    each = arrow_map(few.select(F.col(text_col).alias("text")), work, "h array<long>").select(F.explode("h").alias("h"))
+    rows = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    got = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2)
+    h, order = got[:, 0].copy().view(np.uint64), np.argsort(got[:, 0].copy().view(np.uint64))
+    return h[order], got[order, 1]
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = ALIKE) -> DataFrame:
+    """(id, node, n, bits, keys): digest, size and parities of each text's set of shingles, and its prefix.
+
+    The prefix are the n - ceil(alike n) + 1 first of the n shingles in one order of all shingles, so two sets that reach
+    `alike` share one of it. Common shingles come last; which are, is known from a sample, on which only speed depends.
+    """
+    h, often = _common(docs, id_col, text_col, shingle)
+
+    def work(c: dict) -> dict:
+        out: dict[str, list] = {"node": [], "n": [], "bits": [], "keys": []}
+        for t in texts_of(c["text"]):
+            s = shingle_set(t, shingle)
+            rank = np.zeros(len(s), np.int64)
+            if len(h):
+                at = np.minimum(np.searchsorted(h, s), len(h) - 1)
+                rank = np.where(h[at] == s, often[at], 0)
+            first = len(s) - math.ceil(len(s) * alike - 1e-9) + 1
+            out["node"].append(set_key(s))
+            out["n"].append(len(s))
+            out["bits"].append(parities(s))
+            out["keys"].append(s[np.lexsort((s, rank))[:first]].view(np.int64))
+        return {"id": c["id"], "node": pa.array(out["node"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "bits": pa.array(out["bits"], pa.binary()), "keys": pa.array(out["keys"], pa.list_(pa.int64()))}
+
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, node long, n int, bits binary, keys array<long>")
+
+
+def _runs(columns: Iterable[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The same rows, regrouped so that no run of equal first columns is parted."""
+    held: list[list[np.ndarray]] = []
+    for c in columns:
+        if held and held[-1][0][-1] != c[0][0]:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        last = np.flatnonzero(c[0][1:] != c[0][:-1])
+        if len(last):
+            held.append([x[: last[-1] + 1] for x in c])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, c = [], [x[last[-1] + 1 :] for x in c]
+        held.append(c)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _lists(alike: float, most: int):
+    """The nodes of each key whose sizes don't rule out a link; (key, n, node) come sorted. Above `most` rows, all pairs of parts that sizes allow."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, node in _runs([b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows):
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (n[:-1] < alike * n[1:] - 1e-9)) + 1
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+            size = ends - starts
+            small = (size > 1) & (size <= most)
+            if small.any():
+                values = node[np.repeat(small, size)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size[small]))).astype(np.int32)), pa.array(values))], names=["nodes"])
+            for s, e in zip(starts[size > most].tolist(), ends[size > most].tolist(), strict=True):
+                half = max(1, most // 2)
+                parts = [(i, min(e, i + half)) for i in range(s, e, half)]
+                for i, (a, b) in enumerate(parts):
+                    for c, d in parts[i + 1 :]:
+                        if n[b - 1] < alike * n[c] - 1e-9:
+                            break
+                        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((node[a:b], node[c:d]))], pa.list_(pa.int64()))], names=["nodes"])
+
+    return run
+
+
+def _may_link(alike: float, every: bool):
+    """Pairs of ids (a, b) with their nodes (x, y) in lists of (list, node, n, bits, id, root), which come sorted: those whose sizes and parities
+    don't rule out `alike`; of these, a spanning forest of each list, or (every) all between different roots."""
+    bound = (1 - alike) / (1 + alike)
+    own = BITS // 8
+
+    def differ(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(w ^ v).sum(1, dtype=np.int64)
+
+    def near(at, to: np.ndarray, n: np.ndarray, w: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Which of the rows `to` may link to the row or rows `at`."""
+        at = np.broadcast_to(at, to.shape)
+        most = bound * (n[at] + n[to]) + 1e-9
+        ok = (np.minimum(n[at], n[to]) >= alike * np.maximum(n[at], n[to]) - 1e-9) & (differ(w[at], w[to]) <= most)
+        big = np.flatnonzero(ok & (n[at] > BITS) & (n[to] > BITS))
+        ok[big] = differ(wide[at[big]], wide[to[big]]) <= most[big]
+        return ok
+
+    def pairs(left: np.ndarray, root: np.ndarray, *of: np.ndarray) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        while len(left) > 1:
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                i = front.pop()
+                hit = near(i, left, *of) & ((root[left] != root[i]) | (not every))
+                out += [(min(int(i), int(j)), max(int(i), int(j))) for j in left[hit]]
+                if not every:
+                    front += left[hit].tolist()
+                    left = left[~hit]
+        return out
+
+    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+        c, bits = [b.column(i) for i in range(6)], b.column(3).to_pylist()
+        w = np.frombuffer(b"".join(x[:own] for x in bits), np.uint64).reshape(len(bits), BITS // 64)
+        wide = np.frombuffer(b"".join(x[own:].ljust(WIDE // 8, b"\0") for x in bits), np.uint64).reshape(len(bits), WIDE // 64)
+        return [c[0].to_numpy(), c[1].to_numpy(), c[2].to_numpy().astype(np.int64), w, wide, c[4].to_numpy(), c[5].to_numpy()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists, node, n, w, wide, ids, root in _runs(columns(b) for b in batches if b.num_rows):
+            cuts = np.flatnonzero(lists[1:] != lists[:-1]) + 1
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(lists)]))
+            two = starts[ends - starts == 2]
+            ok = two[near(two, two + 1, n, w, wide) & ((root[two] != root[two + 1]) | (not every))]
+            got = list(zip(ok.tolist(), (ok + 1).tolist(), strict=True))
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if e - s > 2:
+                    got += pairs(np.arange(s, e), root, n, w, wide)
+            # rows are sorted by node, so a pair has the same order in every list
+            at, to = np.array(got, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[at], ids[to], node[at], node[to])], names=["a", "b", "x", "y"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, alike: float) -> DataFrame:
+    """(x, y, ok) of the pairs: whether the Jaccard is `alike` or more, from the texts of a and b; of an id's several texts, the one of the right digest counts."""
+
+    def work(c: dict) -> dict:
+        ok, last, own = [], None, None
+        for x, y, s, t in zip(c["x"].to_pylist(), c["y"].to_pylist(), texts_of(c["s"]), texts_of(c["t"]), strict=True):
+            if last != s:
+                last, own = s, shingle_set(s, shingle)
+            other = shingle_set(t, shingle)
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            ok.append(both >= alike * (len(own) + len(other) - both) - 1e-9 and set_key(own) == x and set_key(other) == y)
+        return {"x": c["x"], "y": c["y"], "ok": pa.array(ok, pa.bool_())}
+
+    def texts(of: str, name: str) -> DataFrame:
+        """Texts of the pairs' ids only, so that no others are shuffled."""
+        ids = cut(pairs.select(F.col(of).alias("id")).distinct())
+        own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(name))
+        return own.join(F.broadcast(ids) if ids.count() <= IDS else ids, "id", "left_semi").withColumnRenamed("id", of)
+
+    named = pairs.join(texts("a", "s"), "a").join(texts("b", "t"), "b")
+    return cut(arrow_map(named.select("x", "y", "s", "t"), work, "x long, y long, ok boolean"))
+
+
+def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, alike: float = ALIKE, most: int = LIST) -> DataFrame:
+    """(node, root) of the nodes of `own` (of shingle_sets, ids known) that are linked: every two sets of Jaccard `alike` or more are in one component, by such links only.
+
+    Nodes that share a shingle of their prefixes are listed together, each list once. A first round verifies a spanning
+    forest of what sizes and parities admit in each list; a second, all that they admit between components of the first.
+    """
+    nodes = cut(own.dropDuplicates(["node"]).select("node", "n", "bits", "keys").join(own.groupBy("node").agg(F.min("id").alias("id")), "node"))
+    posts = nodes.select(F.explode("keys").alias("key"), "n", "node").repartition("key").sortWithinPartitions("key", "n", "node")
+    lists = cut(posts.mapInArrow(_lists(alike, most), "nodes array<long>").distinct().withColumn("list", F.xxhash64("nodes")))
+    rows = lists.select("list", F.explode("nodes").alias("node")).join(nodes.select("node", "n", "bits", "id"), "node")
+
+    def listed(rows: DataFrame, every: bool) -> DataFrame:
+        dealt = rows.select("list", "node", "n", "bits", "id", "root").repartition("list").sortWithinPartitions("list", "node")
+        return dealt.mapInArrow(_may_link(alike, every), "a long, b long, x long, y long").distinct()
+
+    first = _alike(cut(listed(rows.withColumn("root", F.col("node")), False)), docs, id_col, text_col, shingle, alike)
+    links = first.where("ok").select("x", "y")
+    roots = cut(components(links, "x", "y"))
+    at = lists.select("list", F.explode("nodes").alias("node")).join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
+    mixed = at.join(at.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list"), "list")
+    rest = listed(mixed.join(nodes.select("node", "n", "bits", "id"), "node"), True).join(first.select("x", "y"), ["x", "y"], "left_anti")
+    more = _alike(cut(rest), docs, id_col, text_col, shingle, alike).where("ok").select("x", "y")
+    return components(links.union(more), "x", "y") if more.limit(1).count() else roots
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = ALIKE) -> DataFrame:
     """docs with one document of each group of copies: the one of smallest id.
 
-    Similarity is that of the fingerprint of the set of five-word shingles; 256 bits and WIDE_BITS stand for a Jaccard
-    of about 0.8 and take in nearly all pairs above it. Candidates share a quadruple of the 32 bytes of a second
-    fingerprint, over words, that changes less with an edit. Null text counts as empty; all empty texts are copies of each other.
-    Rows without an id stay. Repeated ids: one row stays. An empty table stays empty; other columns are kept as they are.
+    Copies are texts whose sets of five-word shingles have a Jaccard of `alike` or more, and what such links reach. Null text
+    counts as empty; all empty texts are copies of each other. Rows without an id stay. Repeated ids: one row stays. An
+    empty table stays empty; other columns are kept as they are.
     """
-    index, verify = [f"w{i}" for i in range(4)], [f"v{i}" for i in range(4)]
-    own = cut(wide_fingerprints(docs, id_col, text_col, shingle).where("id is not null"))
-    nodes = cut(own.groupBy(*index, *verify).agg(F.min("id").alias("node")))
-    # an id with two different rows would be two nodes; the smallest of both stands for it
-    alone = nodes.dropDuplicates(["node"])
-    edges = links(alone, index, verify, random_quads(32, rounds), 4, max_bits, chunk)
-    roots = components(edges)
-    kept = nodes.select("node").join(roots.where("node <> root").select("node"), "node", "left_anti").distinct()
-    gone = own.select("id").distinct().join(kept, own["id"] == kept["node"], "left_anti").select(F.col("id").alias("__gone"))
+    own = cut(shingle_sets(docs, id_col, text_col, shingle, alike).where("id is not null"))
+    roots = near_copies(own, docs, id_col, text_col, shingle, alike)
+    to = own.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    kept = to.groupBy("root").agg(F.min("id").alias("id")).select("id").distinct()
+    gone = own.select("id").distinct().join(kept, "id", "left_anti").select(F.col("id").alias("__gone"))
     left = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
     many = own.groupBy("id").count().where("count > 1").limit(1).count()
     if not many:
