@@ -571,3 +571,14 @@ def test_lists_in_parts(spark):
     want = roots([i for i, _ in rows], [(a, b) for (a, s), (b, t) in itertools.combinations(rows, 2) if 5 * len(shingled(s) & shingled(t)) >= 4 * len(shingled(s) | shingled(t))])
     at = {r.node: r.root for r in simhash.near_copies(common.cut(sets), df, "doc_id", "text", most=6).collect()}
     assert all((at.get(to[a], to[a]) == at.get(to[b], to[b])) == (want[a] == want[b]) for a, b in itertools.combinations(to, 2))
+
+
+def test_short_copies_go(spark):
+    """Few words, some of them short: a last word dropped, around eight words of four letters."""
+    rng, rows = random.Random(21), []
+    for g in range(150):
+        n = (6, 9, 12, 16, 20, 30)[g % 6]
+        words = [f"w{rng.randrange(10**5)}" if rng.random() < 0.5 else rng.choice("abc") + str(rng.randrange(10)) for _ in range(n)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:-1]))]
+    got = {r.doc_id for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_dedup(rows) and {2 * g + 1 for g in range(150) if g % 6 > 1} & got == set()
