@@ -5,16 +5,26 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset, one of our own, on a local master only."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share")
+        root = tempfile.mkdtemp(prefix="hueweave-")
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint, in the folder of spark.checkpoint.dir; only where that is unset (tests) in one of our own."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="hueweave-"))
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
