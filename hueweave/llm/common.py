@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hueweave.operators.running import checkpoint_dir, cut
+
 #: A-Z to a-z and nothing else, for bytes.translate.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -21,36 +23,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one the cluster names in spark.checkpoint.dir; only where that is unset (tests) one of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="hueweave-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/hueweave-{uuid.uuid4().hex}"
+    """A new folder under the one the cluster names in spark.checkpoint.dir."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/hueweave-{uuid.uuid4().hex}"
+
+
+#: About so many bytes of a batch are worked on at once; a row that is longer goes alone.
+SLICE = 8_000_000
+
+
+def slices(batch: pa.RecordBatch, at: int | None = None, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` bytes, of column `at` or in all, so that what is made of a run stays small."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in [batch.column(at)] if at is not None else batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type):
+            sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            sizes += max(1, c.nbytes // max(1, len(c)))
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving unused memory back at its end: workers live on, and what they held would count against the tasks after it."""
 
+    def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder."""
-    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return go
 
 
 def arrow_map(df: DataFrame, work: Callable[[dict[str, pa.Array]], dict[str, object]], schema: str) -> DataFrame:
-    """work(columns) -> columns, for one bounded Arrow batch at a time."""
+    """work(columns) -> columns, for one slice of an Arrow batch at a time."""
     names = [x.strip().split(" ")[0].split(":")[0] for x in schema.split(",")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 out = work({n: batch.column(i) for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:

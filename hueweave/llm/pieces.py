@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hueweave.llm.common import gather, split_words
+from hueweave.llm.common import gather, released, slices, split_words
 
 MARK = "▁"
 #: Words kept from batch to batch, and the longest of these.
@@ -221,22 +221,14 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kin
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(v)
         for whole in batches:
-            for batch in _slices(whole, at):
+            for batch in slices(whole, at, 5_000_000):
                 values, sizes = own.encode(batch.column(at).fill_null(""))
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values))
                 texts = pa.array([own.decode(values[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists.cast(pa.list_(pa.field("element", pa.int32(), False))), pa.array(sizes.astype(np.int32)), texts], names=[*batch.schema.names, ids, count, decoded])
 
-    return kept.mapInArrow(run, schema)
-
-
-def _slices(batch: pa.RecordBatch, at: int, most: int = 5_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about `most` bytes of text, so that ids and decoded texts of a batch stay small."""
-    n = batch.num_rows
-    step = max(1, int(n * most / max(1, batch.column(at).nbytes)))
-    for i in range(0, n, step):
-        yield batch.slice(i, step)
+    return kept.mapInArrow(released(run), schema)
 
 
 def op2(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import arrow_map, texts_of
+from hueweave.llm.common import arrow_map, released, slices, texts_of
 
 PASSAGE = 512
 #: At most so many labelled rows train the model: those with the smallest hash of their id.
 SAMPLE = 4_000
+#: And of these, in the same order, at most as many as have so many passages in all (64 MB of features on the driver).
+PASSAGES = 100_000
 KINDS = 8
 
 
@@ -124,24 +126,34 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> AttentionModel:
-    """A model of the labelled rows outside the held-out fold; `sample` bounds how many (of smallest hash of the id).
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> AttentionModel:
+    """A model of the labelled rows outside the held-out fold; `sample` and `passages` bound how many (of smallest hash of the id).
 
-    Repeated labels of an id count once (the smaller). Null labels are left out. Without both classes the model is untrained.
+    Repeated labels of an id count once (the smaller), and so do rows of an id (the shortest text, then the smallest hash).
+    Null labels are left out, null texts are empty. Without both classes, empty tables included, the model is untrained.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(sample)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).cast("long")
+    listed = own.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct(size.alias("n"), F.xxhash64("text").alias("h"))).alias("k"))
+    held, picked = 0, []
+    for r in sorted(listed.select("id", "y", "k.n", "k.h", F.xxhash64("id").alias("o")).collect(), key=lambda r: (r.o, r.id)):  # `sample` rows at most
+        held += r.n
+        if held > passages:
+            break
+        picked.append((r.id, r.y, r.h))
+    if len({y for _, y, _ in picked}) < 2:
+        return AttentionModel()
+    named = docs.sparkSession.createDataFrame(picked, f"id {chosen.schema['id'].dataType.simpleString()}, y int, h long")
+    once = own.withColumn("h", F.xxhash64("text")).join(F.broadcast(named), ["id", "h"]).groupBy("id", "y").agg(F.first("text").alias("text"))
 
     def work(c: dict) -> dict:
         return {"id": c["id"], "y": c["y"], "x": pa.array([encode([t])[0].astype("<f2").tobytes() for t in texts_of(c["text"])], pa.binary())}
 
-    rows = sorted(arrow_map(own.select("id", "y", "text"), work, "id long, y int, x binary").collect())
-    model = AttentionModel()
-    if len({r.y for r in rows}) < 2:
-        return model
+    rows = sorted(arrow_map(once.select("id", "y", "text"), work, "id long, y int, x binary").collect())
     bags = [np.frombuffer(r.x, "<f2").reshape(-1, WIDTH) for r in rows]
-    return model.fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([r.y for r in rows], np.float64))
+    return AttentionModel().fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([r.y for r in rows], np.float64))
 
 
 def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -155,12 +167,16 @@ def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_c
 
 
 def keep_good(docs: DataFrame, model: AttentionModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs, all columns, without the rows that score under the threshold."""
+    """docs, all columns, without the rows that score under the threshold.
+
+    Null and empty texts are scored as empty; null ids, repeated rows and columns of any name make no difference, as only
+    the text is read. An empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole, at):
                 yield batch.filter(pa.array(model.score(texts_of(batch.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import arrow_map
+from hueweave.llm.common import arrow_map, released, slices
 
 WORDS = (
     "token secret key password passwd api auth access client private public user name test example sample demo dummy your here change "
@@ -213,7 +213,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", size_col: st
     at, sized = names.index(text_col), names.index(size_col) if size_col in names else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             new: dict[int, str] = {}
             for i, text, found in _findings(batch.column(at).fill_null(""), forest):
                 gone = [f for f in found if f[3] >= threshold]
@@ -230,7 +230,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", size_col: st
                 batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hueweave.llm.common import LOWER, arrow_map, components, cut, texts_of
+from hueweave.llm.common import LOWER, arrow_map, components, cut, released, texts_of
 
 #: A posting list above this many rows is dealt out as pairs of chunks of at most about this size, all of which are compared.
 CHUNK = 20_000
@@ -181,8 +182,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Least Jaccard of the sets of shingles of two copies.
 ALIKE = 0.8
 #: Bits of the parity sketch, and of a second one of sets of over BITS shingles; about so many texts show which shingles are common; so many
-#: common ones are told apart; rows a list; so many ids are broadcast, more are joined by a shuffle.
+#: common ones are told apart; rows of a list or a part of one; so many ids are broadcast, more are joined by a shuffle.
 BITS, WIDE, SAMPLE, COMMON, LIST, IDS = 1024, 4096, 5000, 100_000, 2000, 1_000_000
+#: Nodes of most copies that every part of a long list holds.
+PIVOTS = 16
 
 
 def shingle_set(text: str, k: int) -> np.ndarray:
@@ -256,57 +259,66 @@ def _runs(columns: Iterable[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
 
 
 def _lists(alike: float, most: int):
-    """The nodes of each key whose sizes don't rule out a link; (key, n, node) come sorted. Above `most` rows, all pairs of parts that sizes allow."""
+    """(nodes, run) of each key whose sizes don't rule out a link, from (key, n, node, copies) sorted by (key, n, node).
+
+    A list of up to `most` rows has no run. A longer one comes in parts of at most that many rows, numbered by a common
+    run, each with the PIVOTS nodes of most copies of the whole list.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, node in _runs([b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows):
+        for key, n, node, copies in _runs([b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows):
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (n[:-1] < alike * n[1:] - 1e-9)) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
             size = ends - starts
             small = (size > 1) & (size <= most)
             if small.any():
                 values = node[np.repeat(small, size)]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size[small]))).astype(np.int32)), pa.array(values))], names=["nodes"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size[small]))).astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([lists, pa.nulls(len(lists), pa.int64())], names=["nodes", "run"])
             for s, e in zip(starts[size > most].tolist(), ends[size > most].tolist(), strict=True):
-                half = max(1, most // 2)
-                parts = [(i, min(e, i + half)) for i in range(s, e, half)]
-                for i, (a, b) in enumerate(parts):
-                    for c, d in parts[i + 1 :]:
-                        if n[b - 1] < alike * n[c] - 1e-9:
-                            break
-                        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((node[a:b], node[c:d]))], pa.list_(pa.int64()))], names=["nodes"])
+                first = node[s:e][np.lexsort((node[s:e], -copies[s:e]))[:PIVOTS]]
+                name = xxhash.xxh64_intdigest(node[s:e].tobytes()) >> 1
+                for at in range(s, e, most):
+                    part = node[at : min(e, at + most)]
+                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((first[~np.isin(first, part)], part))], pa.list_(pa.int64())), pa.array([name], pa.int64())], names=["nodes", "run"])
 
     return run
 
 
 def _may_link(alike: float, every: bool):
-    """Pairs of ids (a, b) with their nodes (x, y) in lists of (list, node, n, bits, id, root), which come sorted: those whose sizes and parities
-    don't rule out `alike`; of these, a spanning forest of each list, or (every) all between different roots."""
+    """Pairs of ids (a, b) with their nodes (x, y) in lists of (list, node, n, bits, id, root), in which nodes come in one order of all nodes.
+
+    A pair is of different roots, and sizes and parities don't rule out `alike`. Of these, each node's with the first such
+    node before it, which is mostly the same in all its lists; or (every) all.
+    """
     bound = (1 - alike) / (1 + alike)
     own = BITS // 8
 
     def differ(w: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.bitwise_count(w ^ v).sum(1, dtype=np.int64)
 
-    def near(at, to: np.ndarray, n: np.ndarray, w: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    def near(at, to: np.ndarray, root: np.ndarray, n: np.ndarray, w: np.ndarray, wide: np.ndarray) -> np.ndarray:
         """Which of the rows `to` may link to the row or rows `at`."""
         at = np.broadcast_to(at, to.shape)
         most = bound * (n[at] + n[to]) + 1e-9
-        ok = (np.minimum(n[at], n[to]) >= alike * np.maximum(n[at], n[to]) - 1e-9) & (differ(w[at], w[to]) <= most)
+        ok = (root[at] != root[to]) & (np.minimum(n[at], n[to]) >= alike * np.maximum(n[at], n[to]) - 1e-9)
+        few = np.flatnonzero(ok)
+        ok[few] = differ(w[at[few]], w[to[few]]) <= most[few]
         big = np.flatnonzero(ok & (n[at] > BITS) & (n[to] > BITS))
         ok[big] = differ(wide[at[big]], wide[to[big]]) <= most[big]
         return ok
 
-    def pairs(left: np.ndarray, root: np.ndarray, *of: np.ndarray) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        while len(left) > 1:
-            front, left = [left[0]], left[1:]
-            while front and len(left):
-                i = front.pop()
-                hit = near(i, left, *of) & ((root[left] != root[i]) | (not every))
-                out += [(min(int(i), int(j)), max(int(i), int(j))) for j in left[hit]]
+    def pairs(left: np.ndarray, *of: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(left[0], left[-1]):
+            left = left[left > i]
+            if not len(left):
+                break
+            hit = near(i, left, *of)
+            found = left[hit]
+            if len(found):
+                out.append(np.stack((np.full(len(found), i), found)))
                 if not every:
-                    front += left[hit].tolist()
                     left = left[~hit]
         return out
 
@@ -321,13 +333,12 @@ def _may_link(alike: float, every: bool):
             cuts = np.flatnonzero(lists[1:] != lists[:-1]) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(lists)]))
             two = starts[ends - starts == 2]
-            ok = two[near(two, two + 1, n, w, wide) & ((root[two] != root[two + 1]) | (not every))]
-            got = list(zip(ok.tolist(), (ok + 1).tolist(), strict=True))
+            two = two[near(two, two + 1, root, n, w, wide)]
+            got = [np.stack((two, two + 1))]
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s > 2:
                     got += pairs(np.arange(s, e), root, n, w, wide)
-            # rows are sorted by node, so a pair has the same order in every list
-            at, to = np.array(got, np.int64).reshape(-1, 2).T
+            at, to = np.concatenate(got, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[at], ids[to], node[at], node[to])], names=["a", "b", "x", "y"])
 
     return run
@@ -359,43 +370,108 @@ def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingl
 def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, alike: float = ALIKE, most: int = LIST) -> DataFrame:
     """(node, root) of the nodes of `own` (of shingle_sets, ids known) that are linked: every two sets of Jaccard `alike` or more are in one component, by such links only.
 
-    Nodes that share a shingle of their prefixes are listed together, each list once. A first round verifies a spanning
-    forest of what sizes and parities admit in each list; a second, all that they admit between components of the first.
+    Nodes that share a shingle of their prefixes are listed together, each list once. In every round a node is verified
+    against the first node before it that sizes and parities admit and that is in another component; nodes of most copies
+    come first, so a group mostly gathers around one of them. When rounds find no more links, all untested pairs that
+    sizes and parities admit between components are verified, in long lists too: there, what is outside the largest
+    component meets all parts.
     """
-    nodes = cut(own.dropDuplicates(["node"]).select("node", "n", "bits", "keys").join(own.groupBy("node").agg(F.min("id").alias("id")), "node"))
-    posts = nodes.select(F.explode("keys").alias("key"), "n", "node").repartition("key").sortWithinPartitions("key", "n", "node")
-    lists = cut(posts.mapInArrow(_lists(alike, most), "nodes array<long>").distinct().withColumn("list", F.xxhash64("nodes")))
-    rows = lists.select("list", F.explode("nodes").alias("node")).join(nodes.select("node", "n", "bits", "id"), "node")
-
-    def listed(rows: DataFrame, every: bool) -> DataFrame:
-        dealt = rows.select("list", "node", "n", "bits", "id", "root").repartition("list").sortWithinPartitions("list", "node")
-        return dealt.mapInArrow(_may_link(alike, every), "a long, b long, x long, y long").distinct()
-
-    first = _alike(cut(listed(rows.withColumn("root", F.col("node")), False)), docs, id_col, text_col, shingle, alike)
-    links = first.where("ok").select("x", "y")
-    roots = cut(components(links, "x", "y"))
-    at = lists.select("list", F.explode("nodes").alias("node")).join(roots, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
-    mixed = at.join(at.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list"), "list")
-    rest = listed(mixed.join(nodes.select("node", "n", "bits", "id"), "node"), True).join(first.select("x", "y"), ["x", "y"], "left_anti")
-    more = _alike(cut(rest), docs, id_col, text_col, shingle, alike).where("ok").select("x", "y")
-    return components(links.union(more), "x", "y") if more.limit(1).count() else roots
+    first = lambda c: F.first(c).alias(c)  # noqa: E731 equal for equal nodes
+    nodes = cut(own.groupBy("node").agg(first("n"), first("bits"), first("keys"), F.min("id").alias("id"), F.count("*").cast("int").alias("copies")))
+    posts = nodes.select(F.explode("keys").alias("key"), "n", "node", "copies").repartition("key").sortWithinPartitions("key", "n", "node")
+    lists = cut(posts.mapInArrow(released(_lists(alike, most)), "nodes array<long>, run long").distinct().withColumn("list", F.xxhash64("nodes", "run")))
+    facts = nodes.select("node", "n", "bits", "id", "copies")
+    roots: DataFrame | None = None
+    links: DataFrame | None = None
+    tested: DataFrame | None = None
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        """rows of (node, ...) with their root."""
+        return rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of lists of several roots."""
+        if roots is None:
+            return rows
+        return rows.join(rows.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list"), "list")
+
+    def candidates(rows: DataFrame, every: bool) -> DataFrame:
+        """rows: (list, node, root)."""
+        named = mixed(rows).select("list", "node", "root").join(facts, "node")
+        dealt = named.select("list", "node", "n", "bits", "id", "root", "copies").repartition("list").sortWithinPartitions("list", F.desc("copies"), "node")
+        return cut(dealt.mapInArrow(released(_may_link(alike, every)), "a long, b long, x long, y long").distinct())
+
+    def test(pairs: DataFrame) -> bool:
+        """Verifies those of the pairs that are new; whether there are more links."""
+        nonlocal roots, links, tested
+        new = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
+        got = _alike(new, docs, id_col, text_col, shingle, alike)
+        good = got.where("ok").select("x", "y")
+        tested = got.select("x", "y") if tested is None else tested.unionByName(got.select("x", "y"))
+        if not good.limit(1).count():
+            return False
+        links = good if links is None else links.unionByName(good)
+        roots = cut(components(links, "x", "y"))
+        return True
+
+    while True:
+        at = cut(rooted(lists.select("list", "run", F.explode("nodes").alias("node"))))
+        some = candidates(at, False)
+        if not some.limit(1).count():
+            break
+        if test(some):
+            continue
+        # a long list's nodes outside its largest component, with all of its parts
+        long = at.where("run is not null")
+        largest = long.groupBy("run", "root").count().groupBy("run").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+        outside = long.join(largest, "run").where("root <> largest").groupBy("run", "list").agg(F.collect_set("node").alias("others"))  # up to `most` and PIVOTS nodes
+        parts = lists.where("run is not null").select("run", F.col("list").alias("part"), "nodes")
+        met = outside.join(parts, "run").select(F.xxhash64("list", "part").alias("list"), F.explode(F.array_union("others", "nodes")).alias("node"))
+        test(candidates(at.where("run is null").select("list", "node", "root").unionByName(rooted(met).select("list", "node", "root")), True))
+        break
+    return roots if roots is not None else docs.sparkSession.createDataFrame([], "node long, root long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = ALIKE) -> DataFrame:
-    """docs with one document of each group of copies: the one of smallest id.
+    """docs with one row of each group of copies: the one of smallest id.
 
     Copies are texts whose sets of five-word shingles have a Jaccard of `alike` or more, and what such links reach. Null text
-    counts as empty; all empty texts are copies of each other. Rows without an id stay. Repeated ids: one row stays. An
-    empty table stays empty; other columns are kept as they are.
+    counts as empty; all empty texts are copies of each other. Rows without an id stay. Rows of one id whose texts are no
+    copies of each other stay each for itself; of those that are, the one of the smallest digest of its shingles, then of its
+    columns. An empty table stays empty; other columns are kept as they are.
     """
     own = cut(shingle_sets(docs, id_col, text_col, shingle, alike).where("id is not null"))
     roots = near_copies(own, docs, id_col, text_col, shingle, alike)
-    to = own.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    kept = to.groupBy("root").agg(F.min("id").alias("id")).select("id").distinct()
-    gone = own.select("id").distinct().join(kept, "id", "left_anti").select(F.col("id").alias("__gone"))
-    left = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    many = own.groupBy("id").count().where("count > 1").limit(1).count()
-    if not many:
-        return left
-    null = left.where(F.col(id_col).isNull())
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(null)
+    to = own.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    kept = to.groupBy("root").agg(F.min(F.struct("id", "node")).alias("k")).select("k.id", "k.node")
+    counts = own.groupBy("id").count()
+    gone = counts.select("id").join(kept.select("id"), "id", "left_anti")
+    many = counts.where("count > 1").select("id")
+    if not many.limit(1).count():
+        return _without(docs, gone, id_col)
+    kept, many = cut(kept), cut(many)
+    again = docs.join(many.select(F.col("id").alias("__many")), docs[id_col] == F.col("__many"), "left_semi")
+    again = _keyed(again, text_col, shingle).withColumn("__own", F.xxhash64(*docs.columns))
+    at = kept.select(F.col("id").alias("__id"), F.col("node").alias("__kept"))
+    again = again.join(at, (again[id_col] == F.col("__id")) & (F.col("__node") == F.col("__kept")))
+    least = again.groupBy(F.col("__id").alias("__i"), F.col("__kept").alias("__k")).agg(F.min("__own").alias("__least"))
+    one = again.join(least, (F.col("__id") == F.col("__i")) & (F.col("__kept") == F.col("__k")) & (F.col("__own") == F.col("__least"))).select(*docs.columns).distinct()
+    return _without(docs, gone.union(many), id_col).unionByName(one)
+
+
+def _without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows of these ids; rows without an id stay."""
+    gone = ids.select(F.col("id").alias("__gone"))
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+def _keyed(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """docs with __node, the digest of each text's set of shingles."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.array([set_key(shingle_set(t, shingle)) for t in texts_of(b.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "__node"])
+
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
