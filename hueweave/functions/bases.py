@@ -7,8 +7,6 @@ array of file ids; as text it is one character a file, file 0 first.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -119,10 +117,14 @@ def prepend_code(code: Column | str, base: Column | str, k: int) -> Column:
     return F.shiftright(_c(code), 2).bitwiseOR(F.shiftleft(_c(base).cast("long"), 2 * (k - 1)))
 
 
+#: The halves that change places when groups of 2, 4, 8, 16 and 32 bits are swapped.
+SWAPS = (0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF, 0x0000FFFF0000FFFF, 0x00000000FFFFFFFF)
+
+
 def revcomp_code(code: Column | str, k: int) -> Column:
     """Swap the two-bit groups of a complemented word, then drop what is unused."""
     x = F.bitwise_not(_c(code))
-    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+    for shift, mask in zip((2, 4, 8, 16, 32), SWAPS, strict=True):
         m = F.lit(mask).cast("long")
         x = F.shiftrightunsigned(x, shift).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(m), shift))
     return F.shiftrightunsigned(x, 64 - 2 * k)
@@ -141,9 +143,18 @@ def minimizer(kmer: Column | str, m: int = 7) -> Column:
 def minimizer_code(code: Column | str, k: int, m: int = 7) -> Column:
     """The least canonical m-mer of a k-mer as a long: neighbours mostly share it, on either strand."""
     c, mask = _c(code), F.lit((1 << 2 * m) - 1).cast("long")
-    both = (c, revcomp_code(c, k))
-    parts = [F.shiftrightunsigned(x, 2 * i).bitwiseAND(mask) for x in both for i in range(k - m + 1)]
-    return reduce(F.least, parts) if len(parts) < 2 else F.least(*parts)
+    shifts = F.array(*(F.lit(2 * i) for i in range(k - m + 1)))
+    least = lambda x: F.array_min(F.transform(shifts, lambda i: F.call_function("shiftrightunsigned", x, i).bitwiseAND(mask)))
+    return F.array_min(F.transform(F.array(c, revcomp_code(c, k)), least))
+
+
+def revcomp_codes(x: np.ndarray, k: int) -> np.ndarray:
+    """revcomp_code of an array of longs; k may be even here."""
+    y = ~x.astype(np.uint64)
+    for shift, mask in zip((2, 4, 8, 16, 32), SWAPS, strict=True):
+        s, m = np.uint64(shift), np.uint64(mask)
+        y = y >> s & m | (y & m) << s
+    return (y >> np.uint64(64 - 2 * k)).astype(np.int64)
 
 
 # packed bytes --------------------------------------------------------------------------------------------------------
@@ -212,6 +223,26 @@ def color_files(mask: Column | str, n_files: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(n_files - 1)), lambda i: F.call_function("getbit", m, i) == 1)
 
 
+def files_color(file_ids: Column | str, n_files: int) -> Column:
+    """The text of a colour from the sorted ids of its files, for any number of files."""
+
+    @F.pandas_udf(T.StringType())
+    def text(lists: pd.Series) -> pd.Series:
+        out = []
+        for ids in lists:
+            bits = np.full(n_files, ord("0"), np.uint8)
+            bits[np.asarray(ids, np.int64)] = ord("1")
+            out.append(bits.tobytes().decode())
+        return pd.Series(out, dtype=object)
+
+    return text(_c(file_ids))
+
+
+def set_id(file_ids: Column | str) -> Column:
+    """A 64-bit id of a set of files: the exclusive or of the hashes of its ids."""
+    return F.aggregate(_c(file_ids), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.xxhash64(x.cast("int"))))
+
+
 def popcount(mask: Column | str) -> Column:
     return F.bit_count(_c(mask)).cast("int")
 

@@ -2,33 +2,106 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.functions.bases import MAX_MASK_FILES, popcount, revcomp_code
+from hueweave.functions.bases import MAX_MASK_FILES, color_files, popcount, revcomp_code, set_id
 from hueweave.operators.kmers import kmer_files, kmer_masks
+from hueweave.operators.running import cut, whole_runs
 
 
-def color_kmers(records: DataFrame, n_files: int, k: int = 31, **how) -> DataFrame:
-    """(kmer, color, popcount), one row a distinct canonical k-mer: color is a mask, or a sorted array beyond 63 files.
+def color_sets(records: DataFrame, n_files: int, k: int = 31, **how) -> tuple[DataFrame, DataFrame]:
+    """((kmer, color, popcount), palette): one row a distinct canonical k-mer, and what its colour stands for.
 
-    One shuffle by k-mer; batches combine their own k-mers before it.
+    Up to 63 files the colour is a mask. Beyond, it is the id of a set of files, a long as well, and the palette
+    (color, file_ids) holds each set once, so that no k-mer carries, shuffles or groups by a list. Equal ids of different sets
+    raise. One shuffle by k-mer; batches combine their own k-mers before it.
     """
     if n_files <= MAX_MASK_FILES:
-        got = kmer_masks(records, k, **how).groupBy("kmer").agg(F.bit_or("mask").alias("color"))
-        return got.withColumn("popcount", popcount("color"))
-    got = kmer_files(records, k, **how).groupBy("kmer").agg(F.array_sort(F.collect_set("file_id")).alias("color"))
-    return got.withColumn("popcount", F.size("color"))
+        got = kmer_masks(records, k, **how).groupBy("kmer").agg(F.bit_or("mask").alias("color")).withColumn("popcount", popcount("color"))
+        return got, palette(got, n_files)
+    rows = kmer_files(records, k, **how).repartition("kmer").sortWithinPartitions("kmer", "file_id")
+    rows = cut(rows.mapInArrow(_interned(n_files), "kmer long, color long, popcount int, file_ids array<int>"))
+    return rows.select("kmer", "color", "popcount"), _checked(rows.where("file_ids is not null"))
+
+
+def color_kmers(records: DataFrame, n_files: int, k: int = 31, **how) -> DataFrame:
+    """(kmer, color, popcount) alone, see color_sets."""
+    return color_sets(records, n_files, k, **how)[0]
+
+
+def palette(kmers: DataFrame, n_files: int) -> DataFrame:
+    """(color, file_ids) of the masks of (color, ...), 63 files at most."""
+    return kmers.select("color").distinct().select("color", color_files("color", n_files).alias("file_ids"))
+
+
+def _checked(listed: DataFrame) -> DataFrame:
+    """(color, file_ids), each colour once; two sets of one colour raise."""
+    both = listed.groupBy("color").agg(F.min("file_ids").alias("file_ids"), F.max("file_ids").alias("other"))
+    return both.select("color", F.expr("if(file_ids = other, file_ids, cast(raise_error('two sets of files have one id') as array<int>))").alias("file_ids"))
+
+
+#: Colours a task remembers to have listed; beyond, it lists some again.
+KNOWN = 500_000
+
+
+def _interned(n_files: int):
+    """Sorted rows (kmer, file_id) to (kmer, color, popcount, file_ids), file_ids where the task first meets a colour."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = (np.array([xxhash.xxh64_intdigest(struct.pack("<i", i), seed) for i in range(n_files)], np.uint64) for seed in (42, 43))
+        known: dict[int, int] = {}
+        for kmer, file in whole_runs([b.column(i).to_numpy() for i in range(2)] for b in batches if b.num_rows):
+            new = np.concatenate(([True], (kmer[1:] != kmer[:-1]) | (file[1:] != file[:-1])))
+            kmer, file = kmer[new], file[new]
+            starts = np.flatnonzero(np.concatenate(([True], kmer[1:] != kmer[:-1])))
+            size = np.diff(np.concatenate((starts, [len(kmer)])))
+            color, check = (np.bitwise_xor.reduceat(t[file], starts).view(np.int64) for t in (one, two))
+            ids, at, back = np.unique(color, return_index=True, return_inverse=True)
+            if (check[at][back] != check).any() or any(known.get(c, v) != v for c, v in zip(ids.tolist(), check[at].tolist(), strict=True)):
+                raise ValueError("two sets of files have one id")
+            first = np.zeros(len(color), bool)
+            first[[i for c, i in zip(ids.tolist(), at.tolist(), strict=True) if c not in known]] = True
+            known.update(zip(ids.tolist(), check[at].tolist(), strict=True))
+            if len(known) > KNOWN:
+                known = {}
+            values, lens = file[np.repeat(first, size)], np.where(first, size, 0)
+            offsets = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.concatenate((~first, [False]))), pa.array(values))
+            yield pa.RecordBatch.from_arrays([pa.array(kmer[starts]), pa.array(color), pa.array(size.astype(np.int32)), lists], names=["kmer", "color", "popcount", "file_ids"])
+
+    return run
 
 
 def merge_colors(*parts: DataFrame) -> DataFrame:
-    """Coloured k-mers of several sets of files as one: adding a file is a merge with what is there. Masks only."""
+    """Coloured k-mers of several sets of files as one, of masks: adding a file is a merge with what is there."""
     out = parts[0].select("kmer", "color")
     for p in parts[1:]:
         out = out.unionByName(p.select("kmer", "color"))
     return out.groupBy("kmer").agg(F.bit_or("color").alias("color")).withColumn("popcount", popcount("color"))
 
 
+def merge_sets(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Two coloured sets of k-mers with their palettes as one, for any number of files; colours become ids of sets.
+
+    K-mers meet by one join; lists of files are joined once for each pair of colours that meet.
+    """
+    both = cut(a[0].select("kmer", F.col("color").alias("x")).join(b[0].select("kmer", F.col("color").alias("y")), "kmer", "full"))
+    of = lambda p, c, name: p.select(F.col("color").alias(c), F.col("file_ids").alias(name))
+    met = both.select("x", "y").distinct().join(of(a[1], "x", "p"), "x", "left").join(of(b[1], "y", "q"), "y", "left")
+    none = F.array().cast("array<int>")
+    named = cut(met.select("x", "y", F.array_sort(F.array_union(F.coalesce("p", none), F.coalesce("q", none))).alias("file_ids")).withColumn("color", set_id("file_ids")))
+    to = named.select(F.col("x").alias("__x"), F.col("y").alias("__y"), "color", F.size("file_ids").alias("popcount"))
+    kmers = both.join(to, F.col("x").eqNullSafe(F.col("__x")) & F.col("y").eqNullSafe(F.col("__y"))).select("kmer", "color", "popcount")
+    return kmers, _checked(named.select("color", "file_ids"))
+
+
 def omni(kmers: DataFrame, n_files: int) -> DataFrame:
     """K-mers of every file."""
     return kmers.where(F.col("popcount") == n_files)
@@ -53,15 +126,21 @@ def distinct_totals(kmers: DataFrame, n_files: int) -> DataFrame:
     return kmers.groupBy(kind.alias("class")).agg(F.count("*").alias("n_kmers"))
 
 
-def churn(kmers: DataFrame, n_files: int) -> DataFrame:
+def churn(kmers: DataFrame, n_files: int, sets: DataFrame | None = None) -> DataFrame:
     """(file_id, n_before, n_removed) for files 1 and up: how many k-mers all files before hold, and how many of these the file lacks.
 
-    Masks only; a k-mer of file 0 leaves at the first file without it.
+    A k-mer of file 0 leaves at the first file without it. `sets`: the palette, where colours are no masks.
     """
-    first = F.bit_count(F.col("color").bitwiseXOR(F.col("color") + 1)) - 1  # trailing ones: the number of files from 0 on that hold it
-    left = kmers.where(F.col("color").bitwiseAND(F.lit(1)) == 1).groupBy(F.least(first, F.lit(n_files)).cast("int").alias("first_missing")).agg(F.count("*").alias("n"))
+    counts = kmers.groupBy("color").agg(F.count("*").alias("n"))
+    if sets is None:
+        first = F.bit_count(F.col("color").bitwiseXOR(F.col("color") + 1)) - 1  # trailing ones: the number of files from 0 on that hold it
+    else:
+        counts = counts.join(sets, "color")
+        gap = F.array_position(F.transform("file_ids", lambda x, i: x != i), True)
+        first = F.when(gap > 0, gap - 1).otherwise(F.size("file_ids"))
+    left = counts.withColumn("first_missing", F.least(first.cast("int"), F.lit(n_files))).where("first_missing > 0").groupBy("first_missing").agg(F.sum("n").alias("n"))
     files = kmers.sparkSession.range(1, max(n_files, 1)).select(F.col("id").cast("int").alias("file_id"))
-    joined = files.join(F.broadcast(left), F.col("first_missing") >= F.col("file_id"), "left")  # at most 63 rows on either side
+    joined = files.join(F.broadcast(left), F.col("first_missing") >= F.col("file_id"), "left")  # at most a row a file on either side
     return joined.groupBy("file_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_before"), F.coalesce(F.sum(F.when(F.col("first_missing") == F.col("file_id"), F.col("n"))), F.lit(0)).alias("n_removed"))
 
 

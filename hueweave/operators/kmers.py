@@ -110,15 +110,18 @@ def kmer_masks(records: DataFrame, k: int = 31, invalid: str = "compat", on_shor
 
 
 def kmer_files(records: DataFrame, k: int = 31, invalid: str = "compat", on_short: str = "drop") -> DataFrame:
-    """(kmer long, file_id int), distinct within a record; for any number of files."""
+    """(kmer long, file_id int), distinct within a file's records of a batch; for any number of files."""
     rows = _prepared(records, k, invalid, on_short).select("file_id", "seq")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own: dict[int, list[np.ndarray]] = {}
             for f, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for piece in _pieces(s, k):
-                    got = np.unique(codes_of(piece, k))
-                    yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(np.full(len(got), f, np.int32))], names=["kmer", "file_id"])
+                    own.setdefault(f, []).append(np.unique(codes_of(piece, k)))
+            for f, parts in own.items():
+                got = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(np.full(len(got), f, np.int32))], names=["kmer", "file_id"])
 
     return rows.mapInArrow(run, "kmer long, file_id int")
 

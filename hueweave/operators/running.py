@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole_runs(columns: Iterable[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The same rows, regrouped so that no run of equal first columns is parted."""
+    held: list[list[np.ndarray]] = []
+    for c in columns:
+        if held and held[-1][0][-1] != c[0][0]:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        last = np.flatnonzero(c[0][1:] != c[0][:-1])
+        if len(last):
+            held.append([x[: last[-1] + 1] for x in c])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, c = [], [x[last[-1] + 1 :] for x in c]
+        held.append(c)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def in_ranges(df: DataFrame, *keys: str | Column) -> DataFrame:
     """df cut in ranges of the keys, numbered in order by the column __range; written down, so that the numbers stay."""
     return cut(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))

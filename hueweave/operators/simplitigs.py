@@ -1,8 +1,13 @@
 """Simplitigs: strings whose k-windows are the k-mers of one colour, each once.
 
-Colours are independent, so k-mers are shuffled by colour and each task glues the colours it holds, one after the other,
-from sorted rows. A colour of more than `most` k-mers is split by minimizer: neighbours mostly stay together, and a task
-holds a share of it only; its strings break where the minimizer changes.
+Colours are independent, so k-mers are shuffled by colour and each task glues the colours it holds from sorted rows. A
+colour of more than `most` k-mers is split by minimizer: neighbours mostly stay together, and a task holds a share of it
+only; its strings break where the minimizer changes.
+
+Gluing works on arrays. Each k-mer has two ends, each with the (k-1)-mer by which a walk leaves it; two ends can be joined
+if these are reverse complements. Ends sorted by their canonical (k-1)-mer stand in groups of at most eight, whose two
+orientations are paired off in order. What is left unpaired in a group is of one orientation, so no string can be
+extended by another; only rings of k-mers have to be opened, which is done one by one.
 """
 
 from __future__ import annotations
@@ -14,91 +19,212 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.functions.bases import ALPHABET, minimizer_code
+from hueweave.functions.bases import ALPHABET, revcomp_codes
+from hueweave.operators.running import cut
 
-#: K-mers of a colour up to which it is glued as a whole (a few hundred MB of Python integers).
+#: K-mers of a colour up to which it is glued as a whole, and k-mers glued at once (about 300 MB of arrays and lists).
 MOST = 1_000_000
-
-
-def glue(kmers: Iterable[int], k: int) -> list[str]:
-    """Greedy strings over canonical k-mers, seeds in ascending order, extensions tried by A, C, G, T."""
-    left, mask, top = dict.fromkeys(kmers), (1 << 2 * k) - 1, 2 * (k - 1)
-    out = []
-
-    def walk(word: int, comp: int) -> list[int]:
-        """Codes added on the right of `word`; comp is its reverse complement. Used k-mers go from `left`."""
-        added = []
-        while True:
-            for b in range(4):
-                w, c = word << 2 & mask | b, comp >> 2 | (3 - b) << top
-                key = w if w < c else c
-                if key in left:
-                    del left[key]
-                    added.append(b)
-                    word, comp = w, c
+#: So many large colours are broadcast; more are joined by a shuffle.
+LARGE = 100_000
+_LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
+
+
+def _pairs(x: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(partner, junction, orientation) of the ends 2 i (right) and 2 i + 1 (left) of each k-mer; partner -1 if it has none.
+
+    The orientation of ends at a palindrome, where any two can be joined, is 2.
+    """
+    right, left = x & ((1 << 2 * (k - 1)) - 1), x >> 2
+    other, back = revcomp_codes(right, k - 1), revcomp_codes(left, k - 1)
+    key = np.stack((np.minimum(right, other), np.minimum(left, back)), axis=1).reshape(-1)
+    kind = np.stack((np.where(right == other, 2, right < other), np.where(left == back, 2, back < left)), axis=1).reshape(-1).astype(np.int8)
+    word, groups = key << 1 | (kind & 1), np.repeat(group, 2)
+    order = np.argsort(word, kind="stable") if not len(group) or group[0] == group[-1] else np.lexsort((word, groups))
+    key, kind_at, groups = key[order], kind[order], groups[order]
+    starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (groups[1:] != groups[:-1])))) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.concatenate((starts, [len(key)])))
+    junction = np.empty(len(key), np.int64)
+    junction[order] = np.repeat(np.arange(len(starts)), size)
+    zeros = np.add.reduceat((kind_at == 0).astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
+    any_two = kind_at[starts] == 2
+    n = np.where(any_two, size // 2, np.minimum(zeros, size - zeros))
+    at = np.repeat(np.arange(len(starts)), n)
+    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    a = order[starts[at] + np.where(any_two[at], 2 * i, i)]
+    b = order[starts[at] + np.where(any_two[at], 2 * i + 1, zeros[at] + i)]
+    partner = np.full(len(key), -1, np.int64)
+    partner[a], partner[b] = b, a
+    # only a run of one base can follow itself; its ends are joined to others if there are any
+    for e in np.flatnonzero(partner == np.arange(len(partner)) ^ 1)[::2].tolist():
+        mine = np.flatnonzero(junction == junction[e])
+        partner[[e, e ^ 1]] = -1
+        for end in (e, e ^ 1):
+            near = mine[(kind[mine] != kind[end]) & (mine >> 1 != e >> 1)]
+            free = near[partner[near] < 0]
+            if len(free):
+                partner[end], partner[free[0]] = free[0], end
+                break
+            if len(near):  # between the two ends of another pair
+                y = int(near[0])
+                z = int(partner[y])
+                partner[end], partner[y], partner[e ^ 1 if end == e else e], partner[z] = y, end, z, e ^ 1 if end == e else e
+                break
+    return partner, junction, kind
+
+
+def _open_rings(unseen: np.ndarray, partner: np.ndarray, junction: np.ndarray, kind: np.ndarray) -> None:
+    """Opens each ring of paired k-mers, where it can be joined to an unpaired end, else anywhere."""
+    free: dict[int, list[int]] = {}
+    for e in np.flatnonzero(partner < 0).tolist():
+        free.setdefault(int(junction[e]), []).append(e)
+    done = set()
+    for first in unseen.tolist():
+        if first in done:
+            continue
+        ring, e = [], 2 * first + 1
+        while e >> 1 not in done:
+            done.add(e >> 1)
+            ring.append(e ^ 1)
+            e = int(partner[e ^ 1])
+        for u in ring:
+            v, ends = int(partner[u]), free.get(int(junction[u]), [])
+            for gone, stays in ((u, v), (v, u)):
+                w = next((w for w in ends if kind[w] == kind[gone]), None)
+                if w is not None:
+                    partner[stays], partner[w], partner[gone] = w, stays, -1
+                    ends[ends.index(w)] = gone
                     break
             else:
-                return added
-
-    while left:
-        seed = next(iter(left))
-        del left[seed]
-        codes = [seed >> 2 * (k - 1 - i) & 3 for i in range(k)]
-        comp = 0
-        for c in reversed(codes):
-            comp = comp << 2 | 3 - c
-        right = walk(seed, comp)
-        # on the other strand the left end is a right end, whose bases are tried in the opposite order of complements
-        before = _leftward(left, seed, comp, mask, top)
-        out.append("".join(ALPHABET[c] for c in [*reversed(before), *codes, *right]))
-    return out
+                continue
+            break
+        else:
+            u = ring[0]
+            v = int(partner[u])
+            partner[u] = partner[v] = -1
+            free.setdefault(int(junction[u]), []).extend((u, v))
+
+
+def _walk(partner: np.ndarray, n: int) -> tuple[list[int], list[int], bytearray]:
+    """The ends by which the k-mers of each string are entered, string after string, where strings start, and the k-mers seen."""
+    after = partner.reshape(-1, 2)[:, ::-1].reshape(-1).tolist()  # entered by an end, a k-mer is left by the other
+    seen, path, starts = bytearray(n), [], []
+    add = path.append
+    for e in (np.flatnonzero(partner.reshape(-1, 2)[:, ::-1].reshape(-1) < 0) ^ 1).tolist():  # of a k-mer's two ends the left one first
+        if not seen[e >> 1]:
+            starts.append(len(path))
+            while e >= 0:
+                seen[e >> 1] = 1
+                add(e)
+                e = after[e]
+    return path, starts, seen
+
+
+def glue_groups(x: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray, pa.Array]:
+    """(group, string) of the strings of distinct canonical k-mers; rows of a group stand together. Deterministic for sorted rows."""
+    if not len(x):
+        return group[:0], pa.array([], pa.string())
+    if k == 1:
+        each = {int(g): "".join(ALPHABET[c] for c in x[group == g].tolist()) for g in np.unique(group)}
+        return np.array(list(each)), pa.array(list(each.values()), pa.string())
+    partner, junction, kind = _pairs(x, group, k)
+    path, starts, seen = _walk(partner, len(x))
+    if len(path) < len(x):
+        _open_rings(np.flatnonzero(np.frombuffer(bytes(seen), np.uint8) == 0), partner, junction, kind)
+        path, starts, seen = _walk(partner, len(x))
+    ends, first = np.array(path, np.int64), np.array(starts, np.int64)
+    words, forward = x[ends >> 1], (ends & 1) == 1
+    # the last base of each k-mer as it is walked, and all of the first one's before it
+    last = np.where(forward, words & 3, 3 - (words >> 2 * (k - 1))).astype(np.uint8)
+    head = np.where(forward[first], words[first], revcomp_codes(words[first], k))
+    heads = (head[:, None] >> 2 * np.arange(k - 1, 0, -1)) & 3
+    sizes = np.diff(np.concatenate((first, [len(ends)]))) + k - 1
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    chars = np.empty(offsets[-1], np.uint8)
+    is_head = np.zeros(offsets[-1], bool)
+    is_head[(offsets[:-1, None] + np.arange(k - 1)).reshape(-1)] = True
+    chars[is_head] = heads.reshape(-1)
+    chars[~is_head] = last
+    strings = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_LETTERS[chars].tobytes()))
+    return group[ends[first] >> 1], strings.cast(pa.string())
 
 
-def _leftward(left: dict, word: int, comp: int, mask: int, top: int) -> list[int]:
-    added = []
-    while True:
-        for b in range(4):
-            w, c = word >> 2 | b << top, comp << 2 & mask | 3 - b
-            key = w if w < c else c
-            if key in left:
-                del left[key]
-                added.append(b)
-                word, comp = w, c
-                break
-        else:
-            return added
+def glue(kmers: Iterable[int], k: int) -> list[str]:
+    """The strings of one set of canonical k-mers."""
+    x = np.unique(np.fromiter(kmers, np.int64))
+    return glue_groups(x, np.zeros(len(x), np.int64), k)[1].to_pylist()
+
+
+def minimizers(x: np.ndarray, k: int, m: int) -> np.ndarray:
+    """The least canonical m-mer of each k-mer, as bases.minimizer_code has it."""
+    both, mask = (x, revcomp_codes(x, k)), (1 << 2 * m) - 1
+    out = np.full(len(x), mask, np.int64)
+    for y in both:
+        for i in range(k - m + 1):
+            np.minimum(out, y >> 2 * i & mask, out=out)
+    return out
 
 
 def simplitigs(kmers: DataFrame, k: int = 31, most: int = MOST, n_partitions: int | None = None) -> DataFrame:
-    """(color, len, seq) of (kmer, color): deterministic for given k-mers; each k-mer stands in one string of its colour."""
-    large = kmers.groupBy("color").agg(F.count("*").alias("n")).where(F.col("n") > most).select("color", "n")
-    salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(minimizer_code("kmer", k, min(7, k))), F.ceil(F.col("n") * 4 / most)).cast("int")).otherwise(0)
-    # at most (all k-mers / most) colours are large
-    rows = kmers.select("kmer", "color").join(large, "color", "left").select("kmer", "color", salt.alias("salt"))
-    dealt = rows.repartition(n_partitions, "color", "salt") if n_partitions else rows.repartition("color", "salt")
+    """(color, len, seq) of (kmer, color): deterministic for given k-mers; each k-mer stands in one string of its colour.
+
+    The k-mers are written down once, as the sizes of colours decide how they are dealt out.
+    """
+    rows = cut(kmers.select("color", F.lit(0).alias("salt"), "kmer"))
+    large = cut(rows.groupBy("color").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    n_large = large.count()  # at most (all k-mers / most)
     kind = kmers.schema["color"].dataType.simpleString()
+    if n_large:
+        listed = F.broadcast(large) if n_large <= LARGE else large
+
+        def salted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, n = b.column(2).to_numpy(), b.column(3).to_numpy()
+                parts = -(-4 * n // most)
+                salt = (minimizers(x, k, min(7, k)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.maximum(1, parts)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(salt.astype(np.int32)), b.column(2)], names=["color", "salt", "kmer"])
+
+        some = rows.join(listed, "color").select("color", "salt", "kmer", "n").mapInArrow(salted, f"color {kind}, salt int, kmer long")
+        rows = rows.join(listed, "color", "left_anti").unionByName(some)
+    dealt = rows.repartition(n_partitions, "color", "salt") if n_partitions else rows.repartition("color", "salt")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def emit() -> pa.RecordBatch:
-            strings = glue(np.concatenate(held).tolist(), k)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(strings), color_type), pa.array([len(s) for s in strings], pa.int32()), pa.array(strings)], names=["color", "len", "seq"])
-
-        for batch in batches:
-            color_type = batch.column(0).type
-            values, colors, salts = batch.column(2).to_numpy(), batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            start = 0
-            for i in range(1, len(colors) + 1):
-                if i == len(colors) or colors[i] != colors[start] or salts[i] != salts[start]:
-                    now = (colors[start], salts[start])
-                    if at is not None and now != at:
-                        yield emit()
-                        held = []
-                    at = now
-                    held.append(values[start:i])
-                    start = i
-        if held:
-            yield emit()
-
-    return dealt.sortWithinPartitions("color", "salt", "kmer").select("color", "salt", "kmer").mapInArrow(run, f"color {kind}, len int, seq string")
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def emit(color: np.ndarray, salt: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            new = np.concatenate(([True], (color[1:] != color[:-1]) | (salt[1:] != salt[:-1])))
+            group = np.cumsum(new) - 1
+            at, strings = glue_groups(x, group, k)
+            out = pa.RecordBatch.from_arrays([pa.array(color[np.flatnonzero(new)][at]), pa.array(_lengths(strings)), strings], names=["color", "len", "seq"])
+            for i in range(0, out.num_rows, 10_000):
+                yield out.slice(i, 10_000)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            color, salt, x = (c.to_numpy() for c in b.columns)
+            # whole groups are glued as soon as MOST k-mers are held; the last group may go on
+            cuts = np.flatnonzero((color[1:] != color[:-1]) | (salt[1:] != salt[:-1])) + 1
+            if held and (held[-1][0][-1] != color[0] or held[-1][1][-1] != salt[0]):
+                cuts = np.concatenate(([0], cuts))
+            if len(cuts) and size + cuts[-1] >= GLUED:
+                held.append((color[: cuts[-1]], salt[: cuts[-1]], x[: cuts[-1]]))
+                yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, size = [], 0
+                color, salt, x = color[cuts[-1] :], salt[cuts[-1] :], x[cuts[-1] :]
+            held.append((color, salt, x))
+            size += len(x)
+        if size:
+            yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return dealt.sortWithinPartitions("color", "salt", "kmer").mapInArrow(run, f"color {kind}, len int, seq string")
+
+
+#: K-mers of small colours that are glued at once.
+GLUED = 250_000
+
+
+def _lengths(strings: pa.Array) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int32)

@@ -18,7 +18,9 @@ def simplitigs_per_length(simplitigs: DataFrame) -> DataFrame:
 
 
 def kmers_per_popcount(simplitigs: DataFrame, k: int = 31) -> DataFrame:
-    """Color as a mask, as text or as an array of file ids."""
+    """By `popcount`, where there is that column; else color as a mask, as text or as an array of file ids."""
+    if "popcount" in simplitigs.columns:
+        return simplitigs.groupBy("popcount").agg(F.sum(F.col("len") - k + 1).cast("long").alias("n_kmers"))
     kind = simplitigs.schema["color"].dataType.simpleString()
     n = {"bigint": F.bit_count("color"), "string": F.length(F.regexp_replace("color", "[^1]", ""))}.get(kind, F.size("color") if kind.startswith("array") else None)
     return simplitigs.groupBy(n.cast("int").alias("popcount")).agg(F.sum(F.col("len") - k + 1).cast("long").alias("n_kmers"))

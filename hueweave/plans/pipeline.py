@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hueweave.functions.bases import MAX_MASK_FILES
 from hueweave.operators import colors, stats
 from hueweave.operators.simplitigs import simplitigs
 from hueweave.sources.archive import Archive, decompress, write_archive
@@ -13,8 +14,9 @@ from hueweave.sources.fasta import read_fasta, read_fof, read_lines, write_dumps
 def compress(files: DataFrame, path: str, k: int = 31, records: DataFrame | None = None, **how) -> Archive:
     """An archive of the files of (file_id, path); records (file_id, seq) in place of reading them."""
     rows = read_fasta(files) if records is None else records
-    kmers = colors.color_kmers(rows, files.count(), k, **how)
-    write_archive(path, files, simplitigs(kmers.select("kmer", "color"), k), k)
+    n = files.count()
+    kmers, sets = colors.color_sets(rows, n, k, **how)
+    write_archive(path, files, simplitigs(kmers.select("kmer", "color"), k), k, sets if n > MAX_MASK_FILES else None)
     return Archive(files.sparkSession, path)
 
 

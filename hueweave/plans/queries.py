@@ -6,6 +6,7 @@ are summed up as a count and a digest (the sum of the first 32 bits of the MD5 o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 from hueweave.functions import bases as B
 from hueweave.operators import colors, stats
 from hueweave.operators.kmers import canonical_strings, occurrences, window_strings
+from hueweave.operators.running import checkpoint_dir
 from hueweave.operators.simplitigs import simplitigs
+from hueweave.plans.pipeline import archive_stats, compress
+from hueweave.sources import codec
+from hueweave.sources.archive import Archive, decompress
+from hueweave.sources.fasta import FILES, files_table, read_fasta, read_name_map, write_fasta, write_name_map
 
 K, N_FILES = 31, 20
 LETTERS, MAPPED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
@@ -38,23 +44,24 @@ def colored(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return colors.color_kmers(records(spark, sf_dir, k), N_FILES, k)
 
 
-def digest(x: Column | str) -> Column:
-    return F.sum(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")).cast("long").alias("digest")
+def digest(x: Column | str, name: str = "digest") -> Column:
+    return F.sum(F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")).cast("long").alias(name)
 
 
 def n() -> Column:
     return F.count("*").alias("n")
 
 
-_SEQS = f"""seqs as (select * from (select doc_id, cast(substr(source, 4) as int) file_id, source,
+_FILE = "cast(substr(source, 4) as int)"
+_SEQS = f"""seqs as (select * from (select doc_id, {_FILE} file_id, source,
   translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{MAPPED}') seq from documents) where length(seq) >= {{k}})"""
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 _DIGEST = "sum(('0x' || substr(md5({0}), 1, 8))::bigint)::bigint as digest"
 
 
-def _with(k: int = K, *more: str) -> str:
+def _with(k: int = K, *more: str, file: str = _FILE) -> str:
     """Sequences, their windows (doc_id, file_id, w), canonical k-mers (file_id, k) and colours (k, color), as far as a query names them."""
-    parts = [_SEQS.format(k=k), f"wins as (select doc_id, file_id, substr(seq, i::bigint + 1, {k}) w from seqs, unnest(range(0, length(seq) - {k} + 1)) t(i))", f"kmers as (select doc_id, file_id, least(w, {_RC.format('w')}) k from wins)", "cols as (select k, bit_or(1::bigint << file_id) color, count(distinct file_id)::int popcount from kmers group by k)"]
+    parts = [_SEQS.format(k=k).replace(_FILE, file), f"wins as (select doc_id, file_id, substr(seq, i::bigint + 1, {k}) w from seqs, unnest(range(0, length(seq) - {k} + 1)) t(i))", f"kmers as (select doc_id, file_id, least(w, {_RC.format('w')}) k from wins)", "cols as (select k, bit_or(1::bigint << file_id) color, count(distinct file_id)::int popcount from kmers group by k)"]
     return "with " + ",\n".join([*parts, *more]) + "\n"
 
 
@@ -74,9 +81,11 @@ def seq_clean(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d, 1).select("doc_id", "file_id", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("hash"))
 
 
-@_query("revcomp_canonical", "with " + _SEQS.format(k=K) + f", heads as (select doc_id, substr(seq, 1, {K}) w, seq from seqs) select doc_id, {_RC.format('w')} as rc, least(w, {_RC.format('w')}) as canon, w < {_RC.format('w')} as is_canon, md5({_RC.format('seq')}) as seq_rc from heads")
+@_query("revcomp_canonical", _with() + f"""select doc_id, any_value(md5({_RC.format('seq')})) as seq_rc, count(*) as n, count_if(w < {_RC.format('w')}) as n_canonical,
+  {_DIGEST.format(_RC.format('w')).replace('digest', 'rc')}, {_DIGEST.format(f"least(w, {_RC.format('w')})").replace('digest', 'canon')} from wins join seqs using (doc_id) group by doc_id""")
 def revcomp_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).withColumn("w", F.substring("seq", 1, K)).select("doc_id", B.revcomp("w").alias("rc"), B.canonical("w").alias("canon"), B.is_canonical("w").alias("is_canon"), F.md5(B.revcomp("seq")).alias("seq_rc"))
+    rows = window_strings(records(spark, d).withColumn("seq_rc", F.md5(B.revcomp("seq"))), K)
+    return rows.groupBy("doc_id", "seq_rc").agg(n(), F.count_if(B.is_canonical("kmer")).alias("n_canonical"), digest(B.revcomp("kmer"), "rc"), digest(B.canonical("kmer"), "canon"))
 
 
 @_query("kmer_explode", _with() + f"select doc_id, count(*) as n, {_DIGEST.format('k')} from kmers group by doc_id")
@@ -95,10 +104,11 @@ def invalid_base_compat(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("doc_id", F.length("e").cast("long").alias("len"), F.md5("e").alias("hash"))
 
 
-@_query("kmer_encode_decode", "with " + _SEQS.format(k=K) + f""", heads as (select doc_id, substr(seq, 1, {K}) w from seqs)
-select doc_id, sum((instr('ACGT', substr(w, i::bigint, 1)) - 1)::bigint << (2 * ({K} - i))::int)::bigint as code, any_value(w) as back from heads, unnest(range(1, {K} + 1)) t(i) group by doc_id""")
+@_query("kmer_encode_decode", _with() + f"""select doc_id, count(*) as n, bit_xor(list_sum(list_transform(range(1, {K} + 1), lambda i: ((instr('ACGT', substr(w, i, 1)) - 1)::bigint << (2 * ({K} - i))::int)))::bigint) as codes,
+  {_DIGEST.format('w').replace('digest', 'back')} from wins group by doc_id""")
 def kmer_encode_decode(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).select("doc_id", B.kmer_encode(F.substring("seq", 1, K)).alias("code")).withColumn("back", B.kmer_decode("code", K))
+    rows = window_strings(records(spark, d), K).select("doc_id", B.kmer_encode("kmer").alias("code"))
+    return rows.groupBy("doc_id").agg(n(), F.bit_xor("code").alias("codes"), digest(B.kmer_decode("code", K), "back"))
 
 
 @_query("neighbors", _with(11, "own as (select distinct k from kmers)", "near as (select k, side, b, case side when 'right' then substr(k, 2) || b else b || substr(k, 1, 10) end x from own, (values ('A'), ('C'), ('G'), ('T')) v(b), (values ('left'), ('right')) s(side))", f"edges as (select near.* from near where least(x, {_RC.format('x')}) in (select k from own))") + "select side, degree::bigint as degree, count(*) as n from (select k, side, count(*) degree from edges group by all) group by all")
@@ -200,24 +210,132 @@ def pack_unpack(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.md5(B.unpack("packed", "len")).alias("back"), F.octet_length("packed").cast("long").alias("size"), F.lower(F.hex(F.substring("packed", 1, 8))).alias("head"))
 
 
-def _decompressed(spark: SparkSession, d: str, wanted: tuple[str, ...] | None) -> DataFrame:
-    """K-mers of each file from strings by colour: colours without a wanted file go first, files are read off the colour."""
-    names = {i: f"src{i}" for i in range(N_FILES)}
-    asked = [i for i, name in names.items() if wanted is None or name in wanted]
-    files = spark.createDataFrame([(i, names[i]) for i in asked], "file_id int, source string")
-    own = strings(spark, d).where(F.col("color").bitwiseAND(F.lit(sum(1 << i for i in asked)).cast("long")) != 0)
-    got = own.select("seq", F.explode(B.color_files("color", N_FILES)).alias("file_id")).join(F.broadcast(files), "file_id").select("source", "seq")
-    return canonical_strings(got, K).groupBy("source").agg(n(), digest("kmer"))
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/hueweave-{uuid.uuid4().hex}"
+
+
+def archived(spark: SparkSession, d: str) -> Archive:
+    """The documents of each source as an archive on disk."""
+    return compress(files_table(spark, [f"src{i}" for i in range(N_FILES)]), folder(spark), K, records(spark, d))
+
+
+def _decompressed(archive: Archive, wanted: list[str] | None) -> DataFrame:
+    """K-mers of each file, read back."""
+    rows = decompress(archive, wanted).withColumnRenamed("file", "source")
+    return canonical_strings(rows, archive.k).groupBy("source").agg(n(), digest("kmer"))
 
 
 @_query("decompress_full", _with() + f"select 'src' || file_id as source, count(*) as n, {_DIGEST.format('k')} from (select distinct file_id, k from kmers) group by file_id")
 def decompress_full(spark: SparkSession, d: str) -> DataFrame:
-    return _decompressed(spark, d, None)
+    return _decompressed(archived(spark, d), None)
 
 
 @_query("decompress_targeted", _with() + f"select 'src' || file_id as source, count(*) as n, {_DIGEST.format('k')} from (select distinct file_id, k from kmers where 'src' || file_id in {WANTED}) group by file_id")
 def decompress_targeted(spark: SparkSession, d: str) -> DataFrame:
-    return _decompressed(spark, d, WANTED)
+    return _decompressed(archived(spark, d), list(WANTED))
+
+
+@_query("archive_stats", _with() + f"select reverse(lpad(bin(color), {N_FILES}, '0')) as color, count(*) as n_kmers, max(popcount)::int as popcount, (count(*) over (partition by popcount))::bigint as colors_of_popcount from cols group by color, popcount")
+def stats_of_archive(spark: SparkSession, d: str) -> DataFrame:
+    archive = archived(spark, d)
+    of = archive.colors.select("color", "text", F.size("file_ids").alias("popcount"))
+    of = of.join(of.groupBy("popcount").agg(F.count("*").alias("colors_of_popcount")), "popcount")
+    return archive_stats(archive)[0].join(of, "color").select(F.col("text").alias("color"), "n_kmers", "popcount", "colors_of_popcount")
+
+
+@_query("archive_directory", _with() + f"select count(*) as n_colors, sum(n)::bigint as n_kmers, count_if(color = {(1 << N_FILES) - 1}) as n_whole, true as offsets_meet, true as numbered, true as clustered from (select color, count(*) n from cols group by color)")
+def archive_directory(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes, offsets and numbers of the colours of a real archive, which depend on how k-mers were glued, by what must hold of them."""
+    archive = archived(spark, d)
+    c, rows = archive.colors, archive.simplitigs
+    held = rows.groupBy("color_id", "bucket").agg(F.count("*").alias("held"), F.sum("len").alias("len"), F.sum(B.packed_size("len")).alias("packed"), F.sum(F.col("len") - K + 1).alias("kmers"))
+    both = c.join(held, ["color_id", "bucket"], "left")  # a colour stands in its bucket only
+    return both.agg(
+        F.count("*").alias("n_colors"), F.sum("kmers").cast("long").alias("n_kmers"), F.count_if(F.col("color_id") == 0).alias("n_whole"), ((F.max("end_offset") == F.sum("size")) & F.every(F.col("end_offset") - F.col("start_offset") == F.col("size"))).alias("offsets_meet"),
+        (F.count_distinct("color_id") == F.count("*")).alias("numbered"), F.every((F.col("held") == F.col("n_simplitigs")) & (F.col("len") == F.col("bases")) & (F.col("packed") == F.col("size"))).alias("clustered"),
+    )
+
+
+def _fasta_files(spark: SparkSession, d: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """(the files, those with CR LF): a plain file, a compressed one and one with CR LF in turn, under names that need care."""
+    names = [(i, f"{at}/src{i} #%25[x]+é:{{a}}." + ("fa", "fa.zst", "fasta")[i % 3]) for i in range(N_FILES)]
+    found = {r.file_id for r in records(spark, d, 1).select("file_id").distinct().collect()}
+    make = lambda rows: spark.createDataFrame([r for r in rows if r[0] in found], FILES)
+    return make(names), make(names[2::3])
+
+
+@_query("fasta_roundtrip", "with " + _SEQS.format(k=1) + f" select file_id, count(*) as n, sum(length(seq))::bigint as bases, {_DIGEST.format('seq')} from seqs group by file_id")
+def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    files, crlf = _fasta_files(spark, d, folder(spark))
+    rows = records(spark, d, 1).select("file_id", "seq")
+    write_fasta(rows, files.join(crlf, "path", "left_anti").select("file_id", "path"))
+    write_fasta(rows, crlf, end="\r\n")
+    return read_fasta(files).groupBy("file_id").agg(n(), F.sum(F.length("seq")).cast("long").alias("bases"), digest("seq"))
+
+
+@_query("fasta_kmers", _with() + f"select file_id, count(*) as n, {_DIGEST.format('k')} from kmers group by file_id")
+def fasta_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of sequences read from files."""
+    files, _ = _fasta_files(spark, d, folder(spark))
+    write_fasta(records(spark, d).select("file_id", "seq"), files)
+    return canonical_strings(read_fasta(files), K).groupBy("file_id").agg(n(), digest("kmer"))
+
+
+@_query("name_map", "select distinct cast(substr(source, 4) as int) as file_id, 'a:b/' || source || '.fa' as path from documents")
+def name_map(spark: SparkSession, d: str) -> DataFrame:
+    at = folder(spark)
+    files = documents(spark, d).select(F.substr("source", F.lit(4)).cast("int").alias("file_id"), F.concat(F.lit("a:b/"), "source", F.lit(".fa")).alias("path")).distinct()
+    write_name_map(files, at)
+    return read_name_map(spark, at)
+
+
+_TEXT = f"reverse(lpad(bin(1::bigint << file_id), {N_FILES}, '0'))"
+
+
+def _exchanged(spark: SparkSession, d: str, wanted: list[int] | None) -> DataFrame:
+    """The sequences as strings of one colour a source, through the binary format."""
+    at, rows = folder(spark), records(spark, d).select(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("file_id")).alias("color"), F.length("seq").alias("len"), "seq")
+    codec.write_binary(at, files_table(spark, [f"src{i}" for i in range(N_FILES)]), rows, N_FILES)
+    return codec.read_binary(spark, at, wanted).groupBy("text").agg(n(), F.sum("len").cast("long").alias("bases"), digest("seq"))
+
+
+@_query("directory_codec", "with " + _SEQS.format(k=K) + f" select {_TEXT} as text, count(*) as n, sum(length(seq))::bigint as bases, {_DIGEST.format('seq')} from seqs group by file_id")
+def directory_codec(spark: SparkSession, d: str) -> DataFrame:
+    return _exchanged(spark, d, None)
+
+
+@_query("directory_codec_targeted", "with " + _SEQS.format(k=K) + f" select {_TEXT} as text, count(*) as n, sum(length(seq))::bigint as bases, {_DIGEST.format('seq')} from seqs where file_id in (3, 11) group by file_id")
+def directory_codec_targeted(spark: SparkSession, d: str) -> DataFrame:
+    return _exchanged(spark, d, [3, 11])
+
+
+#: More files than a mask has bits: documents by their ids.
+WIDE = 200
+_WIDE = _with(K, "sets as (select k, list_sort(list(distinct file_id)) fs from kmers group by k)", file=f"(doc_id % {WIDE})::int")
+
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    return records(spark, d).select((F.col("doc_id") % WIDE).cast("int").alias("file_id"), "seq")
+
+
+@_query("wide_colors", _WIDE + f"select array_to_string(fs, ' ') as files, len(fs)::int as popcount, count(*) as n, {_DIGEST.format('k')} from sets group by fs")
+def wide_colors(spark: SparkSession, d: str) -> DataFrame:
+    kmers, sets = colors.color_sets(wide(spark, d), WIDE, K)
+    rows = kmers.groupBy("color", "popcount").agg(n(), digest(B.kmer_decode("kmer", K)))
+    return rows.join(sets, "color").select(F.array_join("file_ids", " ").alias("files"), "popcount", "n", "digest")
+
+
+@_query("wide_churn", _WIDE.rstrip() + f", firsts as (select coalesce(list_position(list_transform(fs, lambda x, i: x <> i - 1), true) - 1, len(fs))::int first from sets where fs[1] = 0) select f::int as file_id, count(*) filter (first >= f) as n_before, count(*) filter (first = f) as n_removed from (select unnest(range(1, {WIDE})) f) left join firsts on true group by f")
+def wide_churn(spark: SparkSession, d: str) -> DataFrame:
+    kmers, sets = colors.color_sets(wide(spark, d), WIDE, K)
+    return colors.churn(kmers, WIDE, sets)
+
+
+@_query("wide_archive", _WIDE + f"select 'doc' || f as source, count(*) as n, {_DIGEST.format('k')} from (select unnest(fs) f, k from sets) where f in (7, 150) group by f")
+def wide_archive(spark: SparkSession, d: str) -> DataFrame:
+    files = files_table(spark, [f"doc{i}" for i in range(WIDE)])
+    return _decompressed(compress(files, folder(spark), K, wide(spark, d)), ["doc150", "doc7"])
 
 
 @_query("wanted_missing", "select * from (values ('src3'), ('src99'), ('nowhere')) w(source) anti join documents using (source)")
@@ -231,10 +349,14 @@ def file_stem(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", B.basename("url").alias("base"), B.file_stem("url").alias("stem"), B.short_name("url").alias("short"))
 
 
-@_query("minimizer", "with " + _SEQS.format(k=K) + f""", heads as (select doc_id, substr(seq, 1, {K}) w from seqs)
-select doc_id, min(substr(w, i::bigint, 7)) as minimizer from heads, unnest(range(1, {K} - 7 + 2)) t(i) group by doc_id""")
+_LEAST = f"list_min(list_transform(range(1, {K} - 7 + 2), lambda i: substr({{0}}, i, 7)))"
+
+
+@_query("minimizer", _with() + f"""select doc_id, count(*) as n, {_DIGEST.format('a').replace('digest', 'minimizer')}, {_DIGEST.format('least(a, b)').replace('digest', 'canonical')}
+from (select doc_id, {_LEAST.format('w')} a, {_LEAST.format(_RC.format('w'))} b from wins) group by doc_id""")
 def minimizer(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).select("doc_id", B.minimizer(F.substring("seq", 1, K)).alias("minimizer"))
+    rows = window_strings(records(spark, d), K).select("doc_id", "kmer", B.kmer_encode("kmer").alias("code"))
+    return rows.groupBy("doc_id").agg(n(), digest(B.minimizer("kmer"), "minimizer"), digest(B.kmer_decode(B.minimizer_code("code", K), 7), "canonical"))
 
 
 @_query("intersect_all", _with(15) + " intersect ".join(f"select k as kmer from kmers where file_id = {i}" for i in range(N_FILES)))
@@ -247,18 +369,30 @@ def union_minus_intersect(spark: SparkSession, d: str) -> DataFrame:
     return colors.multi(colored(spark, d, 15), N_FILES).agg(n(), digest(B.kmer_decode("kmer", 15)))
 
 
-@_query("bases_roundtrip", """with seqs as (select doc_id, c from (select doc_id, substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 1) c from documents) where c <> '')
-select doc_id, c, case when c in ('A', 'C', 'G', 'T') then instr('ACGT', c)::int - 1 end as code, case when c in ('A', 'C', 'G', 'T') then c end as back from seqs""")
+@_query("alphabet", "select * from (values (0::int, 'A'), (1::int, 'C'), (2::int, 'G'), (3::int, 'T')) t(code, base)")
+def alphabet(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(1).select(F.explode(B.alphabet()).alias("code")).withColumn("base", B.base_decode("code"))
+
+
+@_query("bases_roundtrip", """with letters as (select doc_id, unnest(string_split(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '')) c from documents)
+select doc_id, count(*) as n, count(b) as n_bases, coalesce(sum(instr('ACGT', b) - 1), 0)::bigint as codes, count_if(b = 'A') as n_a, count_if(b = 'G') as n_g
+from (select doc_id, case when c in ('A', 'C', 'G', 'T') then c end b from letters where c <> '') group by doc_id""")
 def bases_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    own = documents(spark, d).select("doc_id", F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 1, 1).alias("c")).where("c <> ''")
-    return own.select("doc_id", "c", B.base_encode("c").cast("int").alias("code")).withColumn("back", B.base_decode("code"))
+    own = documents(spark, d).select("doc_id", F.explode(F.split(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "")).alias("c")).where("c <> ''")
+    own = own.select("doc_id", B.base_encode("c").cast("int").alias("code")).withColumn("back", B.base_decode("code"))
+    return own.groupBy("doc_id").agg(n(), F.count("back").alias("n_bases"), F.coalesce(F.sum("code"), F.lit(0)).cast("long").alias("codes"), F.count_if(F.col("back") == "A").alias("n_a"), F.count_if(F.col("back") == "G").alias("n_g"))
 
 
-@_query("slide_codes", "with " + _SEQS.format(k=K + 1) + f""", heads as (select doc_id, substr(seq, 1, {K}) w, substr(seq, {K} + 1, 1) b from seqs)
-select doc_id, substr(w, 2) || b as appended, b || substr(w, 1, {K} - 1) as prepended, {_RC.format('w')} as rc from heads""")
+@_query("slide_codes", _with(K + 1) + f"""select doc_id, count(*) as n, {_DIGEST.format(f"substr(w, 2, {K})").replace('digest', 'appended')}, {_DIGEST.format(f"substr(w, {K} + 1) || substr(w, 1, {K} - 1)").replace('digest', 'prepended')},
+  {_DIGEST.format(_RC.format(f"substr(w, 1, {K})")).replace('digest', 'rc')} from wins group by doc_id""")
 def slide_codes(spark: SparkSession, d: str) -> DataFrame:
-    own = records(spark, d, K + 1).select("doc_id", B.kmer_encode(F.substring("seq", 1, K)).alias("x"), B.base_encode(F.substring("seq", K + 1, 1)).alias("b"))
-    return own.select("doc_id", B.kmer_decode(B.append_code("x", "b", K), K).alias("appended"), B.kmer_decode(B.prepend_code("x", "b", K), K).alias("prepended"), B.kmer_decode(B.revcomp_code("x", K), K).alias("rc"))
+    rows = records(spark, d, K + 1)
+    # windows of an even number of bases: a k-mer and the base after it
+    own = rows.select("doc_id", F.explode(F.expr(f"transform(sequence(0, (length(seq) - {K} - 1) div 200), i -> substr(seq, i * 200 + 1, 200 + {K}))")).alias("part"))
+    own = own.select("doc_id", F.explode(F.expr(f"transform(sequence(1, length(part) - {K}), i -> substr(part, i, {K} + 1))")).alias("w"))
+    own = own.select("doc_id", B.kmer_encode(F.substring("w", 1, K)).alias("x"), B.base_encode(F.substring("w", K + 1, 1)).alias("b"))
+    back = lambda c: B.kmer_decode(c, K)
+    return own.groupBy("doc_id").agg(n(), digest(back(B.append_code("x", "b", K)), "appended"), digest(back(B.prepend_code("x", "b", K)), "prepended"), digest(back(B.revcomp_code("x", K)), "rc"))
 
 
 QUERIES = {k: f for k, (f, _) in _QUERIES.items()}

@@ -1,6 +1,8 @@
 """Columns, k-mers, colours, simplitigs, archives and files against brute force and fixed examples."""
 
+import os
 import random
+from urllib.parse import unquote
 
 import duckdb
 import numpy as np
@@ -17,9 +19,9 @@ from hueweave.operators.simplitigs import glue, simplitigs
 from hueweave.plans import queries
 from hueweave.plans.pipeline import archive_stats, compress
 from hueweave.sources import codec
-from hueweave.sources.archive import Archive, decompress, missing_files
+from hueweave.sources.archive import Archive, decompress, missing_files, within, write_archive
 from hueweave.sources.fasta import check_extensions, files_table, read_fasta, read_name_map
-from hueweave.streaming.incremental import latest, stream_colors
+from hueweave.streaming.incremental import latest, latest_sets, stream_colors
 
 RC = str.maketrans("ACGT", "TGCA")
 
@@ -128,8 +130,10 @@ def test_colors(spark, n_files):
     for f, s in seqs:
         for x in kmers_of(s, k):
             want.setdefault(x, set()).add(f)
-    got = colors.color_kmers(rows, n_files, k)
-    named = {r.s: (r.color, r.popcount) for r in got.withColumn("s", B.kmer_decode("kmer", k)).collect()}
+    got, sets = colors.color_sets(rows, n_files, k)
+    listed = {r.color: list(r.file_ids) for r in sets.collect()}
+    assert all(listed[r.color] == [i for i in range(n_files) if r.color >> i & 1] for r in got.collect()) if n_files <= 63 else True
+    named = {r.s: (r.color if n_files <= 63 else listed[r.color], r.popcount) for r in got.withColumn("s", B.kmer_decode("kmer", k)).collect()}
     assert named == {x: (sum(1 << f for f in v) if n_files <= 63 else sorted(v), len(v)) for x, v in want.items()}
     assert colors.omni(got, n_files).count() == sum(len(v) == n_files for v in want.values())
     assert colors.multi(got, n_files).count() == sum(len(v) < n_files for v in want.values())
@@ -172,15 +176,17 @@ def test_simplitigs(spark, most):
 
 
 def test_glue_is_maximal():
-    """No string can be extended by a k-mer that was unused when the walk ended: what stands right of an end belongs to an earlier or the same string."""
-    rng, k = random.Random(5), 7
-    words = sorted({int(canon(dna(rng, k)).translate(str.maketrans("ACGT", "0123")), 4) for _ in range(3000)})
-    out = glue(words, k)
-    at = {canon(s[i : i + k]): n for n, s in enumerate(out) for i in range(len(s) - k + 1)}
-    assert len(at) == len(words) == sum(len(s) - k + 1 for s in out)
-    for n, s in enumerate(out):
-        for y in [s[1 - k :] + b for b in "ACGT"] + [b + s[: k - 1] for b in "ACGT"]:
-            assert at.get(canon(y), -1) <= n
+    """Each k-mer once, and no end of a string can be joined to an end of another, rings and runs of one base included."""
+    rng = random.Random(5)
+    for i in range(1500):
+        k = rng.choice([1, 3, 3, 5, 7])
+        words = {x for _ in range(rng.randint(1, 4)) for x in codes_of(dna(rng, rng.randint(k, 60), "ACGT"[: rng.choice([1, 2, 3, 4])]), k).tolist()}
+        words = sorted(x for x in words if i % 3 or rng.random() < 0.7)
+        out = glue(words, k)
+        assert sorted(x for s in out for x in codes_of(s, k).tolist()) == words
+        # an end is the (k-1)-mer by which a walk leaves the string
+        ends = [(n, e) for n, s in enumerate(out) for e in (s[len(s) - k + 1 :], rc(s[: k - 1]))]
+        assert not any(a != b and x == rc(y) for a, x in ends for b, y in ends)
 
 
 def test_directory(spark):
@@ -263,8 +269,11 @@ def test_files_to_archive_and_back(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "st" / "kmer_per_popcount")).count() == len(pops)
     codec.write_binary(str(tmp_path / "bin"), archive.files, archive.colored(), 4)
     back = codec.read_binary(spark, str(tmp_path / "bin"))
-    assert back.exceptAll(archive.colored()).count() == 0 and back.count() == archive.colored().count()
-    assert codec.read_binary(spark, str(tmp_path / "bin"), [1]).where("color & 2 = 0").count() == 0
+    rows = archive.colored().select("text", "len", "seq")
+    assert back.exceptAll(rows).count() == 0 and back.count() == rows.count()
+    some = codec.read_binary(spark, str(tmp_path / "bin"), [1])
+    assert some.exceptAll(rows.where("substr(text, 2, 1) = '1'")).count() == 0 and some.count() == rows.where("substr(text, 2, 1) = '1'").count()
+    assert sorted(p.name for p in (tmp_path / "ar").iterdir()) == ["colors", "files", "meta", "simplitigs"]
     assert sorted(map(tuple, read_name_map(spark, str(tmp_path / "bin" / codec.NAMES)).collect())) == list(enumerate(paths))
     archive.views("a_")
     assert spark.sql("select count(*) from a_simplitigs join a_colors using (color_id)").first()[0] == archive.simplitigs.count()
@@ -278,7 +287,7 @@ def test_worked_example(spark, tmp_path):
     assert sorted((r.text, r.seq) for r in archive.simplitigs.join(archive.colors, "color_id").collect()) == [("01", "CGA"), ("10", "AAC"), ("11", "ACG")]
     codec.write_binary(str(tmp_path / "b"), files, archive.colored(), 2)
     assert (tmp_path / "b" / codec.OMNI).read_bytes() == b"\x03\x00\x00\x00\x24"
-    lines = zstandard.ZstdDecompressor().decompress((tmp_path / "b" / codec.DIRECTORY).read_bytes()).decode()
+    lines = zstandard.ZstdDecompressor().stream_reader((tmp_path / "b" / codec.DIRECTORY).read_bytes()).read().decode()
     assert lines == "10000000,1:3\n01000000,2:3\n" and codec.parse_directory(lines) == [("10000000", 1, [3]), ("01000000", 2, [3])]
 
 
@@ -291,6 +300,30 @@ def test_wide_archive(spark, tmp_path):
     assert list(top.file_ids) == list(range(n)) and top.text == "1" * n
     got = {r.file_id for r in decompress(archive, ["f69.fa"]).collect()}
     assert got == {69}
+    codec.write_binary(str(tmp_path / "b"), archive.files, archive.colored(), n)
+    back, want = codec.read_binary(spark, str(tmp_path / "b")), archive.colored().select("text", "len", "seq")
+    assert back.exceptAll(want).count() == 0 and back.count() == want.count()
+
+
+@pytest.mark.parametrize("n", [70, 1024])
+def test_wide_sets(spark, n):
+    """Churn and merging beyond 63 files, against sets."""
+    rng, k = random.Random(n), 7
+    base = dna(rng, 50)
+    seqs = [(i, base[: rng.randint(10, 50)] + dna(rng, 12)) for i in range(n)]
+    kmers, sets = colors.color_sets(spark.createDataFrame(seqs, "file_id int, seq string").repartition(5), n, k)
+    want = {}
+    for f, s in seqs:
+        for x in kmers_of(s, k):
+            want.setdefault(x, set()).add(f)
+    firsts = [min(set(range(n + 1)) - v) for v in want.values()]
+    got = {r.file_id: (r.n_before, r.n_removed) for r in colors.churn(kmers, n, sets).collect()}
+    assert got == {f: (sum(x >= f for x in firsts), sum(x == f for x in firsts)) for f in range(1, n)}
+    part = lambda rows: colors.color_sets(spark.createDataFrame(rows, "file_id int, seq string"), n, k)
+    merged, both = colors.merge_sets(part(seqs[: n // 2]), part(seqs[n // 3 :]))
+    named = lambda a, b: sorted((r.kmer, r.popcount, r.file_ids) for r in a.join(b, "color").collect())
+    assert named(merged, both) == named(kmers, sets)
+    assert {r.kmer: r.color for r in merged.collect()} == {r.kmer: r.color for r in kmers.collect()}
 
 
 def test_stream(spark, tmp_path):
@@ -301,8 +334,11 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("file_id int, seq string").option("maxFilesPerTrigger", 1).parquet(str(src))
     stream_colors(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 5).trigger(availableNow=True).start().awaitTermination()
     want = colors.color_kmers(spark.createDataFrame(seqs, "file_id int, seq string"), 4, 5)
-    got = latest(want, str(tmp_path / "out"))
+    got = latest(spark, str(tmp_path / "out"))
     assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+    stream_colors(stream, str(tmp_path / "wide"), str(tmp_path / "cp2"), 5, n_files=70).trigger(availableNow=True).start().awaitTermination()
+    got = latest(spark, str(tmp_path / "wide")).join(latest_sets(spark, str(tmp_path / "wide")), "color")
+    assert sorted((r.kmer, sum(1 << i for i in r.file_ids)) for r in got.collect()) == sorted((r.kmer, r.color) for r in want.collect())
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -326,6 +362,60 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("name", ["a#1.fa", "p%q.fa", "br[1].fa", "x+y.fa", "a:b.fa", "é è.fa", "{a,b}.fa", "st*r?.fa", "back\\slash.fa", "z%20 #[1]+.fa.zst"])
+def test_fasta_names(spark, tmp_path, name):
+    """Any name is read back, and no other file with it."""
+    for other in ("br1.fa", "a.fa", "b.fa", "star1.fa", "z .fa.zst"):
+        fasta(tmp_path / other, ["GGGG"])
+    path = fasta(tmp_path / name, ["ACGTAC", "TTTT"])
+    assert sorted((r.file_id, r.seq) for r in read_fasta(files_table(spark, [str(tmp_path / "a.fa"), path])).collect()) == [(0, "GGGG"), (1, "ACGTAC"), (1, "TTTT")]
+
+
+def test_fasta_lost(spark, tmp_path):
+    """A file that Spark hides raises, an empty one has no records."""
+    hidden, empty = fasta(tmp_path / "_a.fa", ["ACGT"]), tmp_path / "e.fa"
+    empty.write_bytes(b"")
+    with pytest.raises(Exception, match="_a.fa"):
+        read_fasta(files_table(spark, [hidden])).collect()
+    assert read_fasta(files_table(spark, [str(empty), fasta(tmp_path / "f.fa", ["ACGT"])])).collect()[0].file_id == 1
+
+
+def test_targeted_read_prunes(spark, tmp_path):
+    """One file's strings: buckets of other colours aren't opened, and the scan is given ranges of ids."""
+    rng, n = random.Random(3), 12
+    rows = spark.createDataFrame([(i, dna(rng, 4000)) for i in range(n)], "file_id int, seq string")
+    files = files_table(spark, [f"f{i}.fa" for i in range(n)])
+    kmers, _ = colors.color_sets(rows, n, 15)
+    write_archive(str(tmp_path / "ar"), files, simplitigs(kmers.select("kmer", "color"), 15), 15, bucket_bytes=1000)
+    archive = Archive(spark, str(tmp_path / "ar"))
+    assert archive.colors.select("bucket").distinct().count() >= n - 2
+    got = decompress(archive, ["f5.fa"])
+    plan = got._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "PartitionFilters: [" in text and "bucket" in text.split("PartitionFilters: [")[1][:60] and "GreaterThanOrEqual(color_id" in text
+    assert {r.file for r in got.collect()} == {"f5.fa"}
+    ids = archive.colors.where(F.array_contains("file_ids", 5)).select("bucket", "color_id")
+    buckets, ranges = within(ids)
+    read = archive.simplitigs.where(F.col("bucket").isin(buckets) & ranges)
+    # a scan of the wanted buckets only: read bytes by files
+    size = lambda fs: sum(os.path.getsize(unquote(f).replace("file://", "").removeprefix("file:")) for f in fs)
+    opened = read.select("seq", "_metadata.file_path").select("file_path").distinct().collect()
+    assert size([r.file_path for r in opened]) < size(archive.simplitigs.inputFiles()) / 3
+    assert read.count() <= 2 * archive.simplitigs.join(ids, "color_id", "left_semi").count()
+
+
+def test_ranges_hold_all_ids(spark):
+    rng = random.Random(9)
+    for most in (1, 2, 7, 64):
+        ids = sorted(rng.sample(range(1000), 60))
+        df = spark.createDataFrame([(i // 100, i) for i in ids], "bucket int, color_id long")
+        buckets, ranges = within(df, most)
+        got = {r.color_id for r in spark.range(1000).withColumnRenamed("id", "color_id").where(ranges).collect()}
+        assert set(ids) <= got and buckets == sorted({i // 100 for i in ids})
+        assert most < 64 or got == set(ids)
+    assert within(df.where("false"))[0] == []
+
+
 def test_pushdown(spark, tmp_path):
     """A targeted read prunes columns and joins strings on the clustered key; sequences are read by their columns only."""
     rows = spark.createDataFrame([(0, "ACGTTACG"), (1, "ACGATTTC")], "file_id int, seq string")
