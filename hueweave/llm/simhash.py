@@ -16,12 +16,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hueweave.llm.common import LOWER, arrow_map, components, cut, released, texts_of
+from hueweave.operators.running import whole_runs
 
 #: A posting list above this many rows is dealt out as pairs of chunks of at most about this size, all of which are compared.
 CHUNK = 20_000
@@ -184,6 +186,9 @@ ALIKE = 0.8
 #: Bits of the parity sketch, and of a second one of sets of over BITS shingles; about so many texts show which shingles are common; so many
 #: common ones are told apart; rows of a list or a part of one; so many ids are broadcast, more are joined by a shuffle.
 BITS, WIDE, SAMPLE, COMMON, LIST, IDS = 1024, 4096, 5000, 100_000, 2000, 1_000_000
+#: Orders of all shingles by whose least ones nodes are listed first: by products with odd numbers.
+MINS = 4
+ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)) for i in range(MINS)]
 #: Nodes of most copies that every part of a long list holds.
 PIVOTS = 16
 
@@ -216,7 +221,7 @@ def _common(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[np.nda
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = ALIKE) -> DataFrame:
-    """(id, node, n, bits, keys): digest, size and parities of each text's set of shingles, and its prefix.
+    """(id, node, n, bits, keys, mins): digest, size and parities of each text's set of shingles, its prefix, and its least shingles by MINS orders.
 
     The prefix are the n - ceil(alike n) + 1 first of the n shingles in one order of all shingles, so two sets that reach
     `alike` share one of it. Common shingles come last; which are, is known from a sample, on which only speed depends.
@@ -224,7 +229,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     h, often = _common(docs, id_col, text_col, shingle)
 
     def work(c: dict) -> dict:
-        out: dict[str, list] = {"node": [], "n": [], "bits": [], "keys": []}
+        out: dict[str, list] = {"node": [], "n": [], "bits": [], "keys": [], "mins": []}
         for t in texts_of(c["text"]):
             s = shingle_set(t, shingle)
             rank = np.zeros(len(s), np.int64)
@@ -235,47 +240,33 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out["node"].append(set_key(s))
             out["n"].append(len(s))
             out["bits"].append(parities(s))
+            out["mins"].append(np.unique(s[[int(np.argmin(s * m)) for m in ODD]] if len(s) else s).view(np.int64))
             out["keys"].append(s[np.lexsort((s, rank))[:first]].view(np.int64))
-        return {"id": c["id"], "node": pa.array(out["node"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "bits": pa.array(out["bits"], pa.binary()), "keys": pa.array(out["keys"], pa.list_(pa.int64()))}
+        return {"id": c["id"], "node": pa.array(out["node"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "bits": pa.array(out["bits"], pa.binary()), **{k: pa.array(out[k], pa.list_(pa.int64())) for k in ("keys", "mins")}}
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, node long, n int, bits binary, keys array<long>")
-
-
-def _runs(columns: Iterable[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
-    """The same rows, regrouped so that no run of equal first columns is parted."""
-    held: list[list[np.ndarray]] = []
-    for c in columns:
-        if held and held[-1][0][-1] != c[0][0]:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = []
-        last = np.flatnonzero(c[0][1:] != c[0][:-1])
-        if len(last):
-            held.append([x[: last[-1] + 1] for x in c])
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held, c = [], [x[last[-1] + 1 :] for x in c]
-        held.append(c)
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, node long, n int, bits binary, keys array<long>, mins array<long>")
 
 
 def _lists(alike: float, most: int):
-    """(nodes, run) of each key whose sizes don't rule out a link, from (key, n, node, copies) sorted by (key, n, node).
+    """(nodes, run) of each key whose sizes don't rule out a link, from (key, n, node, copies, root) sorted by (key, n, node); root null: the node.
 
-    A list of up to `most` rows has no run. A longer one comes in parts of at most that many rows, numbered by a common
+    Lists of one root go. A list of up to `most` rows has no run. A longer one comes in parts of at most that many rows, numbered by a common
     run, each with the PIVOTS nodes of most copies of the whole list.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, node, copies in _runs([b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows):
+        columns = ([*(b.column(i).to_numpy() for i in range(4)), pc.coalesce(b.column(4), b.column(2)).to_numpy()] for b in batches if b.num_rows)
+        for key, n, node, copies, root in whole_runs(columns):
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (n[:-1] < alike * n[1:] - 1e-9)) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
             size = ends - starts
-            small = (size > 1) & (size <= most)
+            mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+            small = mixed & (size <= most)
             if small.any():
                 values = node[np.repeat(small, size)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size[small]))).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([lists, pa.nulls(len(lists), pa.int64())], names=["nodes", "run"])
-            for s, e in zip(starts[size > most].tolist(), ends[size > most].tolist(), strict=True):
+            for s, e in zip(starts[mixed & (size > most)].tolist(), ends[mixed & (size > most)].tolist(), strict=True):
                 first = node[s:e][np.lexsort((node[s:e], -copies[s:e]))[:PIVOTS]]
                 name = xxhash.xxh64_intdigest(node[s:e].tobytes()) >> 1
                 for at in range(s, e, most):
@@ -329,7 +320,7 @@ def _may_link(alike: float, every: bool):
         return [c[0].to_numpy(), c[1].to_numpy(), c[2].to_numpy().astype(np.int64), w, wide, c[4].to_numpy(), c[5].to_numpy()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lists, node, n, w, wide, ids, root in _runs(columns(b) for b in batches if b.num_rows):
+        for lists, node, n, w, wide, ids, root in whole_runs(columns(b) for b in batches if b.num_rows):
             cuts = np.flatnonzero(lists[1:] != lists[:-1]) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(lists)]))
             two = starts[ends - starts == 2]
@@ -370,16 +361,15 @@ def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingl
 def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, alike: float = ALIKE, most: int = LIST) -> DataFrame:
     """(node, root) of the nodes of `own` (of shingle_sets, ids known) that are linked: every two sets of Jaccard `alike` or more are in one component, by such links only.
 
-    Nodes that share a shingle of their prefixes are listed together, each list once. In every round a node is verified
-    against the first node before it that sizes and parities admit and that is in another component; nodes of most copies
-    come first, so a group mostly gathers around one of them. When rounds find no more links, all untested pairs that
+    Nodes that share a shingle are listed together, each list once. In every round a node is verified against the first
+    node before it that sizes and parities admit and that is in another component; nodes of most copies come first, so a
+    group mostly gathers around one of them. The first round lists nodes under MINS shingles only, which gathers most
+    groups; then under their prefixes, which miss no link, without lists of one component. When rounds find no more links, all untested pairs that
     sizes and parities admit between components are verified, in long lists too: there, what is outside the largest
     component meets all parts.
     """
-    first = lambda c: F.first(c).alias(c)  # noqa: E731 equal for equal nodes
-    nodes = cut(own.groupBy("node").agg(first("n"), first("bits"), first("keys"), F.min("id").alias("id"), F.count("*").cast("int").alias("copies")))
-    posts = nodes.select(F.explode("keys").alias("key"), "n", "node", "copies").repartition("key").sortWithinPartitions("key", "n", "node")
-    lists = cut(posts.mapInArrow(released(_lists(alike, most)), "nodes array<long>, run long").distinct().withColumn("list", F.xxhash64("nodes", "run")))
+    first = lambda c: F.first(c).alias(c)  # noqa: E731 these are equal for equal nodes
+    nodes = cut(own.groupBy("node").agg(first("n"), first("bits"), first("keys"), first("mins"), F.min("id").alias("id"), F.count("*").cast("int").alias("copies")))
     facts = nodes.select("node", "n", "bits", "id", "copies")
     roots: DataFrame | None = None
     links: DataFrame | None = None
@@ -389,6 +379,12 @@ def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
         """rows of (node, ...) with their root."""
         return rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
+    def listed(keys: str) -> DataFrame:
+        """(nodes, run, list) of the nodes that share one of their `keys`."""
+        own = rooted(nodes.select("node", "n", "copies", keys))
+        posts = own.select(F.explode(keys).alias("key"), "n", "node", "copies", F.nullif("root", "node").alias("root")).repartition("key").sortWithinPartitions("key", "n", "node")
+        return cut(posts.mapInArrow(released(_lists(alike, most)), "nodes array<long>, run long").distinct().withColumn("list", F.xxhash64("nodes", "run")))
+
     def mixed(rows: DataFrame) -> DataFrame:
         """The rows of lists of several roots."""
         if roots is None:
@@ -414,8 +410,13 @@ def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
         roots = cut(components(links, "x", "y"))
         return True
 
+    def rows_of(lists: DataFrame) -> DataFrame:
+        return cut(rooted(lists.select("list", "run", F.explode("nodes").alias("node"))))
+
+    test(candidates(rows_of(listed("mins")), False))
+    lists = listed("keys")
     while True:
-        at = cut(rooted(lists.select("list", "run", F.explode("nodes").alias("node"))))
+        at = rows_of(lists)
         some = candidates(at, False)
         if not some.limit(1).count():
             break
