@@ -241,6 +241,46 @@ def test_topk_edges(spark):
     assert topk.op4(few.limit(0)).count() == 0 and topk.op4(few.where("vec_id = 0")).count() == 0
     big = spark.createDataFrame([(0, [1e6, 2.0]), (1, [2.0**22, 1.0]), (2, [-1e6, 3.0])], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in topk.op4(big).collect()} == brute_top([(r.vec_id, r.embedding) for r in big.collect()], {0}, 10)
+    with pytest.raises(Exception, match="fit a long"):
+        topk.op4(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<float>")).collect()
+
+
+def test_topk_repeats_and_clashes(spark):
+    """Repeated candidates count as often as they occur, repeated queries once; null ids, components and vectors take no part."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(150)]
+    rows += [rows[7], rows[7], (None, rows[1][1]), (900, None), (901, [1.0, None]), (902, [float("nan")]), (903, [float("inf")]), (300, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("b", "rows", "held", "score", "rank", "v", "ids"):
+        df = df.withColumn(c, F.lit("extra"))
+    usable = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0 or vec_id = 7"), 5, block=2, share=3, least=1).collect())
+    want = []
+    for q in sorted({i for i, _ in usable if i % 100 == 0 or i == 7}):
+        own = [int(math.floor(1024 * x)) for x in next(v for i, v in usable if i == q)]
+        scored = sorted((-sum(a * int(math.floor(1024 * b)) for a, b in zip(own, v)), i) for i, v in usable if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:5], 1)]
+    assert got == sorted(want)
+
+
+def test_topk_forms_few_totals():
+    """What the cutoff saves: totals are formed for the sufficient entries alone, products not where norms rule rows out."""
+    rng, k = np.random.default_rng(3), 10
+    q, c = np.floor(1024 * rng.standard_normal((40, 64))), np.floor(1024 * rng.standard_normal((4000, 64)))
+    c[2000:] *= 0.01
+    c = np.floor(c)
+    width, exact = 64, (q @ c.T).astype(np.int64)
+    share = np.arange(0, 4000, 16)
+    cutoff = topk.gathered(q, c[share], np.ones((40, len(share)), bool), k)[:, -1]
+    assert (cutoff <= np.sort(exact, axis=1)[:, -k]).all()
+    count, found = {}, [[] for _ in range(40)]
+    for at in range(0, 4000, 500):
+        part = c[at : at + 500]
+        for i, to, total in zip(*topk.resolved(q, part, np.ones((40, len(part)), bool), cutoff, (topk._norms(q, width), topk._norms(part, width)), count)):
+            found[i].append((-total, at + to))
+    want = [sorted((-s, i) for i, s in enumerate(row))[:k] for row in exact.tolist()]
+    assert [sorted(f)[:k] for f in found] == want
+    assert count["total"] < 40 * 4000 / 5 and count["local"] <= topk.SLICES * 40 * 2000
 
 
 # op5 -----------------------------------------------------------------------------------------------------------------
@@ -446,8 +486,10 @@ def test_token_files(spark, docs, odd, none, per_file):
         f = token_files.TokenFile(r.path, folder)
         n = -(-r.n_tokens // 64)
         ids = [f.sequence(i) for i in range(n)]
-        assert all(len(a) == len(m) == 64 for a, m in ids) and sum(m.sum() for _, m in ids) == r.n_tokens
-        assert (np.concatenate([a[m] for a, m in ids]) == f.tokens(0, r.n_tokens)).all()
+        assert all(len(a) == 8 * len(m) == 64 for a, m in ids) and sum(int(np.bitwise_count(m).sum()) for _, m in ids) == r.n_tokens
+        assert not any(x.flags.owndata or x.flags.writeable for pair in ids for x in pair)  # views of the mapped file
+        assert all(np.unpackbits(m).all() for _, m in ids[:-1])
+        assert (np.concatenate([a[np.unpackbits(m, bitorder="little").astype(bool)] for a, m in ids]) == f.tokens(0, r.n_tokens)).all()
 
 
 def test_token_files_odd(spark, odd, none):
@@ -458,6 +500,25 @@ def test_token_files_odd(spark, odd, none):
     assert token_files.op9(odd).agg(F.sum("n_tokens"), F.count("*")).first()[1] == odd.count() and token_files.op9(none).count() == 0
 
 
+def test_token_files_hot_ids(spark):
+    """An id, and the null id, with more rows than a file holds are dealt to several files, in order, none lost."""
+    rows = [(5, prose(i, 20)) for i in range(90)] + [(None, prose(200 + i, 20)) for i in range(40)] + [(i, prose(400 + i, 20)) for i in range(30)] + [(5, None), (5, "")]
+    df, folder = spark.createDataFrame(rows, "doc_id long, text string"), shared_dir(spark)
+    files = token_files.write_token_files(df, folder, per_file=8, length=64)
+    got = token_files.read_token_files(files, folder).collect()
+    want = {}
+    for i, n, crc in ((i, n, crc) for i, _, n, crc in brute_tokens(rows)):
+        want.setdefault(i, []).append((n, crc))
+    mine = {}
+    for r in sorted(got, key=lambda r: r.start):
+        mine.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    assert {i: sorted(v) for i, v in mine.items()} == {i: sorted(v) for i, v in want.items()}
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(order, order[1:]))
+    assert max(r.n_docs for r in files.collect()) <= 30 and files.where("n_docs > 0").count() >= 20
+
+
 def test_words_encode_as_the_whole_text():
     from tokenizers import Tokenizer
 
