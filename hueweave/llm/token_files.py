@@ -1,5 +1,7 @@
 """Token ids in Arrow IPC files of fixed-size lists: equal-length sequences and masks, read in place by number.
 
+A mask is a fixed-size list of booleans, which Arrow keeps as bits; it is handed out as those bits, so nothing is copied.
+
 A corpus is written as files of ascending, disjoint id ranges. Each holds record batches with `ids` and `mask` as
 fixed-size lists of `length`, and beside it an index file with the id, first token and token count of each document.
 Only the last sequence of a file is padded. Files appear under their name only when complete, and a task that runs
@@ -19,10 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import cut, gather, shared_dir, split_words
+from hueweave.llm.common import cut, gather, released, shared_dir, split_words
+from hueweave.operators.running import running_sum
 
 #: What may follow letters without joining them, and the characters that stand for bytes that aren't printable in Latin-1.
 PUNCTUATION = ".,;:!?*$%&#"
@@ -141,24 +144,57 @@ def _store(folder: str) -> tuple[pafs.FileSystem, str]:
     return fs, path
 
 
-def _ranges(docs: DataFrame, id_col: str, per_file: int, most: int = 10_000) -> np.ndarray:
-    """Last ids of all files but the last: about even shares of the rows. Equal ids never part."""
-    n = docs.count()
-    files = max(1, min(most, -(-n // per_file)))
-    if files == 1:
-        return np.empty(0, np.int64)
-    at = docs.approxQuantile(id_col, [i / files for i in range(1, files)], 0.2 / files)
-    return np.unique(np.array(at, np.float64)).astype(np.int64)
+#: Tasks that write, at most; what a task gets beyond the rows of a file goes to further files of its own.
+BUCKETS = 10_000
+
+
+class Ranges:
+    """Buckets of ascending ids: about even shares of the rows, and of an id with more rows than a file holds, lots by the hash of the text.
+
+    Null ids come first, as one such id if there are many. Rows of one id and text stay together.
+    """
+
+    def __init__(self, docs: DataFrame, per_file: int, most: int = BUCKETS):
+        self.bounds, self.lots = np.empty(0, np.int64), {}
+        n = docs.count()
+        buckets = max(1, min(most, -(-n // per_file)))
+        if buckets > 1:
+            at = docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
+            self.bounds = np.unique(np.array(at, np.float64)).astype(np.int64)
+            share = max(per_file, n // most)
+            often = docs.groupBy("doc_id").count().where(F.col("count") > share).collect()  # at most n / share, so `most`
+            self.lots = {r.doc_id: -(-r[1] // share) for r in often}
+        self.hot = np.array(sorted(i for i in self.lots if i is not None), np.int64)
+        # an id of several lots has a range of its own, so that its lots stand in order between those below and above
+        self.bounds = np.unique(np.concatenate((self.bounds, self.hot, self.hot - 1))) if len(self.hot) else self.bounds
+        room = np.ones(len(self.bounds) + 1, np.int64)
+        for i in self.hot.tolist():
+            room[np.searchsorted(self.bounds, i)] = self.lots[i]
+        self.first = np.cumsum(room) - room + self.lots.get(None, 1)
+
+    def buckets(self, ids: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The bucket of each row; hashes are longs."""
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        values = ids.fill_null(0).to_numpy()
+        out = self.first[np.searchsorted(self.bounds, values)]
+        part = lambda k: ((hashes.view(np.uint64) >> np.uint64(33)) * np.uint64(k) >> np.uint64(31)).astype(np.int64)  # noqa: E731 the k-th share of all hashes
+        for i in self.hot[np.isin(self.hot, values)].tolist():
+            mine = (values == i) & ~null
+            out[mine] += part(self.lots[i])[mine]
+        return np.where(null, part(self.lots.get(None, 1)), out)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = 2048, per_file: int = 4096) -> DataFrame:
-    """Writes ids of whole texts, `end_id` after each, in ascending id order; returns (bucket, path, n_docs, n_tokens), one row a file.
+    """Writes ids of whole texts, `end_id` after each, in ascending id order; returns (bucket, part, path, n_docs, n_tokens), one row a file.
 
-    Null text: the end id alone. Rows with a null id come first. Repeated ids stay, in the order of their ids' bytes.
-    An empty table writes no file. Other columns are not read.
+    Null text: the end id alone. Rows with a null id come first. Rows of one id stay, in the order of a hash of their texts, then
+    of their ids' bytes. An empty table writes no file. Other columns are not read. A file holds `per_file` documents and
+    what goes on in its last batch at most; a task writes as many as it needs.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds, model = _ranges(own, "doc_id", per_file), path or tokenizer_path()
+    ranges, model = Ranges(own.select("doc_id"), per_file), path or tokenizer_path()
+    # the upper bits decide the lot of a hot id, so rows sorted by the unsigned hash stand in the order of lots
+    own = own.withColumn("h", F.xxhash64("text").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(model)
@@ -168,27 +204,31 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, id_
             for i in range(0, whole.num_rows, step):
                 batch = whole.slice(i, step)
                 ids = batch.column(0)
-                bucket = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, ids.fill_null(0).to_numpy()))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), ids, pa.array([x + end for x in encoder.encode(batch.column(1).fill_null(""))], pa.binary())], names=["bucket", "doc_id", "ids"])
+                order = batch.column(2).to_numpy()
+                bucket = ranges.buckets(ids, order ^ np.int64(-(1 << 63)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), ids, batch.column(2), pa.array([x + end for x in encoder.encode(batch.column(1).fill_null(""))], pa.binary())], names=["bucket", "doc_id", "h", "ids"])
 
+    if length % 8:
+        raise ValueError("a sequence's mask is whole bytes: its length must be a multiple of 8")
     wide = 2 if _vocabulary(model) <= 1 << 16 else 4
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: _Writer | None = None
         done = []
         for batch in batches:
-            for bucket, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if out is None or out.bucket != bucket:
+            for bucket, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if out is None or out.bucket != bucket or out.docs >= 2 * per_file:
                     if out:
                         done.append(out.close())
-                    out = _Writer(folder, bucket, length, wide)
+                    part = out.part + 1 if out and out.bucket == bucket else 0
+                    out = _Writer(folder, bucket, part, length, wide)
                 out.add(doc, raw.as_buffer())
         if out:
             done.append(out.close())
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["bucket", "path", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["bucket", "part", "path", "n_docs", "n_tokens"])
 
-    dealt = own.mapInArrow(tokens, "bucket int, doc_id long, ids binary").repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids")
-    return cut(dealt.mapInArrow(write, "bucket int, path string, n_docs long, n_tokens long"))
+    dealt = own.mapInArrow(released(tokens), "bucket int, doc_id long, h long, ids binary").repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "h", "ids")
+    return cut(dealt.mapInArrow(released(write), "bucket int, part int, path string, n_docs long, n_tokens long"))
 
 
 def _vocabulary(path: str) -> int:
@@ -200,11 +240,11 @@ def _vocabulary(path: str) -> int:
 class _Writer:
     """One file and its index, streamed in batches of SEQUENCES sequences."""
 
-    def __init__(self, folder: str, bucket: int, length: int, wide: int):
+    def __init__(self, folder: str, bucket: int, part: int, length: int, wide: int):
         self.fs, base = _store(folder)
         self.fs.create_dir(base, recursive=True)
-        self.bucket, self.length, self.kind = bucket, length, f"<u{wide}"
-        self.path, self.temp = f"{base}/part-{bucket:06d}.arrow", f"{base}/.{uuid.uuid4().hex}"
+        self.bucket, self.part, self.length, self.kind = bucket, part, length, f"<u{wide}"
+        self.path, self.temp = f"{base}/part-{bucket:06d}-{part:06d}.arrow", f"{base}/.{uuid.uuid4().hex}"
         item = pa.uint16() if wide == 2 else pa.uint32()
         self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -241,14 +281,14 @@ class _Writer:
         self.files[1].write_batch(pa.RecordBatch.from_arrays([pa.array([r[i] for r in self.rows], pa.int64()) for i in range(3)], schema=self.index_schema))
         self.rows = []
 
-    def close(self) -> tuple[int, str, int, int]:
+    def close(self) -> tuple[int, int, str, int, int]:
         self.flush(True)
         self.index()
         for x in (*self.files, *self.sinks):
             x.close()
         self.fs.move(f"{self.temp}-index", f"{self.path}-index")
         self.fs.move(self.temp, self.path)
-        return self.bucket, self.path, self.docs, self.at
+        return self.bucket, self.part, self.path, self.docs, self.at
 
 
 class TokenFile:
@@ -268,10 +308,13 @@ class TokenFile:
         return self.batch
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i."""
+        """Ids and mask of sequence i, both as views of the file; the mask in bytes of eight tokens, the first in the lowest bit."""
         batch, at = self._batch(i // SEQUENCES), i % SEQUENCES
-        ids, mask = batch.column(0), batch.column(1)
-        return ids.values.to_numpy()[at * self.length : (at + 1) * self.length], mask.values.slice(at * self.length, self.length).to_numpy(zero_copy_only=False)
+        ids, mask = batch.column(0), batch.column(1).values
+        bits = np.frombuffer(mask.buffers()[1], np.uint8)
+        step = self.length // 8
+        start = mask.offset // 8 + at * step
+        return ids.values.to_numpy()[at * self.length : (at + 1) * self.length], bits[start : start + step]
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """The ids from number `start` on."""
@@ -293,10 +336,10 @@ class TokenFile:
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, read back; start counts from the first file's first id.
 
-    The table of files is bounded (10,000 at most), so its running sum is one small task.
+    Where files start is summed up over ranges of them.
     """
-    order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut(files.select("path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).cast("long").alias("before")))
+    summed = running_sum(files.select("bucket", "part", "path", "n_tokens"), ["bucket", "part"], F.col("n_tokens"), "end")
+    placed = cut(summed.select("path", (F.col("end") - F.col("n_tokens")).alias("before")))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +355,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(max(1, min(1000, placed.count())), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, min(BUCKETS, placed.count())), "path").mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9(docs: DataFrame) -> DataFrame:
