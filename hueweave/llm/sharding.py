@@ -74,7 +74,8 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", text_col: str = "tex
     bucket is dealt to overflow pages of at most the limit, but for a page of one row that is larger itself. Elsewhere
     page is 0. Null keys share a hash. Repeated rows stay. An empty table gives an empty table. Other columns are not read.
     """
-    rows = docs.select(F.col(key).alias("key"), key_hash(key).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"))
+    # texts are read once; the passes over cells read hashes and sizes
+    rows = cut(docs.select(F.col(key).alias("key"), key_hash(key).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size")))
     leaves = directory(rows.select("h", "size"), limit, cells)
     levels = sorted(r.bits for r in leaves.select("bits").distinct().collect())
     placed, left = [], rows
@@ -110,7 +111,7 @@ def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", te
 
 
 #: Byte limit of op3's shards.
-LIMIT = 4_000_000
+LIMIT = 250_000
 
 
 def op3(docs: DataFrame) -> DataFrame:
