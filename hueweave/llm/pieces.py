@@ -26,6 +26,8 @@ from hueweave.llm.common import gather, released, slices, split_words
 MARK = "▁"
 #: Words kept from batch to batch, and the longest of these.
 CACHE, CACHE_CHARS = 250_000, 48
+#: Pairs of pieces remembered, and bytes of text encoded at once.
+PAIRS, BYTES = 250_000, 2_000_000
 
 
 def model_path() -> str:
@@ -96,7 +98,7 @@ class WordEncoder:
             known = self.beside[left] = {}
         got = known.get(right)
         if got is None:
-            if self.pairs > 250_000:
+            if self.pairs > PAIRS:
                 self.beside, self.pairs, known = {}, 0, {}
             self.pairs += 1
             got = known[right] = self._apart(left, right)
@@ -221,7 +223,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kin
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(v)
         for whole in batches:
-            for batch in slices(whole, at, 5_000_000):
+            for batch in slices(whole, at, BYTES):
                 values, sizes = own.encode(batch.column(at).fill_null(""))
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values))
