@@ -81,14 +81,19 @@ def texts_of(column: pa.Array) -> list[str]:
 
 #: A node with over 1 / HUBS of all edges is a hub; so there are under HUBS of them in any list of edges.
 HUBS = 1000
+#: Nodes whose least neighbours are broadcast (about 40 MB); and edges a partition at least, as small lists in many files cost more than their rows.
+NODES, EDGES = 500_000, 10_000
 
 
 def _with_least(rows: DataFrame, key: str, value: str, total: int) -> DataFrame:
     """rows with m, the least `value` of their key; rows has `total` rows at most.
 
-    The least values of hubs are broadcast (under HUBS rows), so their rows stay where they are; the others are joined by key.
+    Least values are combined before the shuffle and, if they are few, broadcast. Else those of hubs are (under HUBS rows), so
+    that their rows stay where they are, and the others are joined by key.
     """
-    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("d"))
+    least = cut(rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("d")).coalesce(1 + total // EDGES))
+    if least.count() <= NODES:
+        return rows.join(F.broadcast(least.select(key, "m")), key)
     hot = F.broadcast(least.where(F.col("d") > total / HUBS).select(key, "m"))
     cold = least.where(F.col("d") <= total / HUBS).select(key, "m")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
@@ -97,18 +102,20 @@ def _with_least(rows: DataFrame, key: str, value: str, total: int) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of an edge: root is the smallest node reachable.
 
-    Alternating large and small stars; each round is two joins on the edge list and its lineage is cut, so a lost
-    executor costs one round. The edges of a hub meet in no task. An edge list without edges gives an empty table.
+    Alternating large and small stars; after each the edges are written down, so a lost executor costs one step. The edges
+    of a hub meet in no task. An edge list without edges gives an empty table.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = lambda df: df.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = mark(e)
+    seen = mark(e.coalesce(max(1, e.rdd.getNumPartitions() // 16)))
+    e = e.coalesce(1 + seen[0] // EDGES)
     while seen[0]:
         near = e.select(F.col("u").alias("n"), F.col("v").alias("o")).union(e.select("v", "u"))
         large = _with_least(near, "n", "o", 2 * seen[0]).where("o > n").select(F.col("o").alias("u"), F.least("n", "m").alias("v")).distinct()
+        large = cut(large.coalesce(1 + 2 * seen[0] // EDGES))
         # a link to the least neighbour stays, the others become links of both ends' neighbours to it
-        small = _with_least(large, "u", "v", seen[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small.distinct())
+        small = _with_least(large, "u", "v", 2 * seen[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = cut(small.distinct().coalesce(1 + 2 * seen[0] // EDGES))
         now = mark(e)
         if now == seen:
             break

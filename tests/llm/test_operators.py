@@ -60,9 +60,10 @@ def roots(ids, linked):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("hubs", [4, 1000])
-def test_components(spark, monkeypatch, hubs):
+@pytest.mark.parametrize("hubs,nodes", [(4, 0), (1000, 0), (1000, 500_000)])
+def test_components(spark, monkeypatch, hubs, nodes):
     monkeypatch.setattr(common, "HUBS", hubs)
+    monkeypatch.setattr(common, "NODES", nodes)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
     edges += [(2000, 2001 + i) for i in range(200)] + [(3300, 3000 + i) for i in range(250)]
