@@ -450,13 +450,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     many = counts.where("count > 1").select("id")
     if not many.limit(1).count():
         return _without(docs, gone, id_col)
-    kept, many = cut(kept), cut(many)
-    again = docs.join(many.select(F.col("id").alias("__many")), docs[id_col] == F.col("__many"), "left_semi")
-    again = _keyed(again, text_col, shingle).withColumn("__own", F.xxhash64(*docs.columns))
-    at = kept.select(F.col("id").alias("__id"), F.col("node").alias("__kept"))
-    again = again.join(at, (again[id_col] == F.col("__id")) & (F.col("__node") == F.col("__kept")))
-    least = again.groupBy(F.col("__id").alias("__i"), F.col("__kept").alias("__k")).agg(F.min("__own").alias("__least"))
-    one = again.join(least, (F.col("__id") == F.col("__i")) & (F.col("__kept") == F.col("__k")) & (F.col("__own") == F.col("__least"))).select(*docs.columns).distinct()
+    kept, many = cut(kept), cut(many.withColumnRenamed("id", "__many"))
+    some = docs.join(many, docs[id_col] == many["__many"], "left_semi")
+    again = some.select(F.struct(*some.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(*some.columns).alias("own"))
+    again = _keyed(again, shingle).join(kept, ["id", "node"])
+    least = again.groupBy("id", "node").agg(F.min("own").alias("own"))
+    one = again.join(least, ["id", "node", "own"]).select("row.*").distinct()
     return _without(docs, gone.union(many), id_col).unionByName(one)
 
 
@@ -466,13 +465,13 @@ def _without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
-def _keyed(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """docs with __node, the digest of each text's set of shingles."""
-    at = docs.columns.index(text_col)
+def _keyed(rows: DataFrame, shingle: int) -> DataFrame:
+    """(row, id, own, node) of (row, id, text, own): node is the digest of the text's set of shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = pa.array([set_key(shingle_set(t, shingle)) for t in texts_of(b.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "__node"])
+            keys = pa.array([set_key(shingle_set(t, shingle)) for t in texts_of(b.column(2))], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), keys], names=["row", "id", "own", "node"])
 
-    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+    f = rows.schema
+    return rows.mapInArrow(released(run), T.StructType([f["row"], f["id"], f["own"], T.StructField("node", T.LongType())]))
