@@ -1,8 +1,8 @@
 """Secret scans: patterns find candidates, a random forest removes the false positives.
 
-Features of a candidate: length, transitions between kinds of characters, how much of it dictionary words cover, whether
-it stands in a path or an address, and the words around it. The forest is trained here from labelled findings, a
-bounded list; `labelled_findings` makes one from a seed where no list of one's own is given.
+Features of a candidate: length, transitions between kinds of characters, how much of it words of a dictionary counted from
+the documents cover, whether it stands in a path or an address, and the words around it. The forest is trained here from
+labelled findings, a bounded list; `labelled_findings` plants one into snippets of the documents where none is given.
 """
 
 from __future__ import annotations
@@ -22,12 +22,10 @@ from pyspark.sql import functions as F
 
 from hueweave.llm.common import arrow_map, released, slices
 
-WORDS = (
-    "token secret key password passwd api auth access client private public user name test example sample demo dummy your here change "
-    "value string number hash commit checksum version build image file path data config server service account admin default local "
-    "host port index page main head body link http https www com org net the and for with this that from have not are was were you "
-    "der die das und ist von mit den ein eine nicht auch les des est une que pour dans pas sur los las por con una para del como"
-).split()
+#: Words of the dictionary at most, the texts that a word must be in, and its letters.
+DICTIONARY, LEAST, LETTERS = 50_000, 3, (4, 20)
+#: Snippets of documents into which labelled findings are planted, and their characters.
+SNIPPETS, SNIPPET = 500, 400
 NAMES = r"api[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|private[_-]?key|auth[_-]?token|access[_-]?token|token|secret|password|passwd|pwd|credentials?"
 #: name -> pattern with the candidate as its only group; the same text serves RE2 as a filter of whole texts.
 PATTERNS = {
@@ -45,30 +43,62 @@ HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "diges
 SURE = ("cloud key", "web token", "private key")
 
 
+def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least: int = LEAST) -> frozenset[str]:
+    """The words a-z that the most texts hold, counted over all documents; ties to the first in the alphabet."""
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z]+"))).alias("w"))
+    counts = words.where(F.length("w").between(*LETTERS)).groupBy("w").count().where(F.col("count") >= least)
+    return frozenset(r.w for r in counts.orderBy(F.desc("count"), "w").limit(most).collect())
+
+
+def snippets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SNIPPETS, size: int = SNIPPET) -> list[str]:
+    """Pieces from the midst of n texts, those of smallest hash; what labelled findings stand between."""
+    long = docs.where(F.length(text_col) >= 2 * size).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.expr(f"substr({text_col}, length({text_col}) div 4 + 1, {size})").alias("s"))
+    return [r.s for r in long.orderBy("h", "s").limit(n).collect()]
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of non-overlapping candidates; of those that overlap, the first named in PATTERNS."""
-    out: list[tuple[int, int, str]] = []
+    """(start, end, kind) of all candidates, each span once, by the first pattern that finds it; they may overlap."""
+    out: dict[tuple[int, int], str] = {}
     for kind, pattern in PATTERNS.items():
-        starts, new = [c[0] for c in out], []  # out is sorted and free of overlaps, and so are the matches of a pattern
         for m in re.finditer(pattern, text):
-            s, e = m.span(1)
             if kind == "random" and not (re.search(r"\d", m[1]) and re.search(r"[A-Za-z]", m[1])):
                 continue
-            at = bisect_left(starts, e)
-            if not at or out[at - 1][1] <= s:
-                new.append((s, e, kind))
-        out = sorted(out + new)
+            out.setdefault(m.span(1), kind)
+    return sorted((s, e, kind) for (s, e), kind in out.items())
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
     return out
 
 
-def features(text: str, start: int, end: int, kind: str) -> list[float]:
+def covered(letters: str, words: frozenset[str]) -> int:
+    """Letters of a run that dictionary words cover, the longest word first from the left."""
+    at, n = 0, 0
+    while at < len(letters):
+        for end in range(min(len(letters), at + LETTERS[1]), at + LETTERS[0] - 1, -1):
+            if letters[at:end] in words:
+                n, at = n + end - at, end
+                break
+        else:
+            at += 1
+    return n
+
+
+def features(text: str, start: int, end: int, kind: str, words: frozenset[str] = frozenset()) -> list[float]:
     own, before, after = text[start:end], text[max(0, start - 120) : start], text[end : end + 60]
     kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in own]
     n = max(1, len(own))
     changes = Counter(zip(kinds[:-1], kinds[1:], strict=True))
     entropy = -sum(v / n * math.log2(v / n) for v in Counter(own).values())
     bare = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", own).lower())
-    covered = sum(len(w) for w in bare if w in WORDS or (len(w) > 5 and any(w.startswith(d) or w.endswith(d) for d in WORDS if len(d) > 3)))
+    known = sum(covered(w, words) for w in bare)
     left = re.findall(r"[a-z0-9]+", before.lower())[-6:]
     right = re.findall(r"[a-z0-9]+", after.lower())[:4]
     glued = re.search(r"[^\s\"'=:<>]*$", before)[0]
@@ -77,23 +107,37 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     return [
         len(own), len(set(own)) / n, entropy, *(kinds.count(k) / n for k in range(4)),
         sum(v for (a, b), v in changes.items() if a != b) / n, (changes[0, 2] + changes[2, 0] + changes[1, 2] + changes[2, 1]) / n, (changes[0, 1] + changes[1, 0]) / n,
-        max((len(m[0]) for m in re.finditer(r"(.)\1*", own, re.S)), default=0) / n, vowels / max(1, letters), covered / max(1, letters),
+        max((len(m[0]) for m in re.finditer(r"(.)\1*", own, re.S)), default=0) / n, vowels / max(1, letters), known / max(1, letters),
         float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", own))), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", own))),
         own.count("/") + own.count("."), float("/" in glued or "\\" in glued), float("://" in glued), float("@" in own or "$" in own[:1] or "{" in own[:2]),
         float(any(w in TRIGGERS for w in left)), float(left[-1:] != [] and left[-1] in TRIGGERS), float(any(w in HARMLESS for w in left)), float(any(w in HARMLESS for w in right)),
         float(before.rstrip()[-1:] in ("=", ":") or before[-2:-1] in ("=", ":", " ") and before[-1:] in ("'", '"')), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
         float(kind == "random"), float(kind in SURE), float(kind == "prefixed"),
+        float(bool(re.search(r"example|sample|dummy|placeholder|change_?me|your[-_ ]|x{4,}|\*{4,}|<[a-z]|todo|redacted", own.lower()))),
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int, str, int]]:
-    """(text, start, end, kind, label) from made-up contexts: half secrets, half what only looks like one."""
+def labelled_findings(n: int = 3000, seed: int = 5, between: list[str] | None = None, words: frozenset[str] = frozenset()) -> list[tuple[str, int, int, str, int]]:
+    """(text, start, end, kind, label): half secrets, half what only looks like one, planted between words of snippets of documents.
+
+    Without snippets the words are made up; so are those that harmless names are put together from, without a dictionary.
+    """
     rng = random.Random(seed)
     hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     draw = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
-    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-    prose = lambda: " ".join(word() for _ in range(rng.randint(2, 9)))
+    known = sorted(words)
+    word = lambda: rng.choice(known) if known and rng.random() < 0.7 else "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    pieces = [p for p in (s.split(" ") for s in between or []) if len(p) > 12 and not any(candidates(w) for w in p)]
+
+    def prose() -> str:
+        k = rng.randint(2, 9)
+        if not pieces:
+            return " ".join(word() for _ in range(k))
+        own = rng.choice(pieces)
+        at = rng.randrange(len(own) - k)
+        return " ".join(own[at : at + k])
+
     tail = lambda: rng.choice(["", "###", "$$$", "***", "%%%", ".", ",", "\n", ")"])
     out = []
     while len(out) < n:
@@ -128,7 +172,7 @@ class Forest:
     """A random forest of binary splits; every tree sees a bootstrap of the rows and some features at each split."""
 
     def __init__(self, trees: int = 40, depth: int = 9, seed: int = 7):
-        self.trees, self.depth, self.seed, self.nodes = trees, depth, seed, []
+        self.trees, self.depth, self.seed, self.nodes, self.words = trees, depth, seed, [], frozenset()
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
         rng = np.random.default_rng(self.seed)
@@ -171,10 +215,17 @@ class Forest:
         return out / max(1, len(self.nodes))
 
 
-def train(findings: list[tuple[str, int, int, str, int]] | None = None, seed: int = 7) -> Forest:
-    """A forest from labelled findings (a list, so bounded by the driver's memory); see labelled_findings."""
-    rows = labelled_findings() if findings is None else findings
-    return Forest(seed=seed).fit(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows], np.float64))
+def train(findings: list[tuple[str, int, int, str, int]] | None = None, seed: int = 7, words: frozenset[str] = frozenset(), between: list[str] | None = None) -> Forest:
+    """A forest from labelled findings (a list, so bounded by the driver's memory); see labelled_findings. It keeps the dictionary."""
+    rows = labelled_findings(between=between, words=words) if findings is None else findings
+    forest = Forest(seed=seed).fit(np.array([features(*r[:4], words) for r in rows]), np.array([r[4] for r in rows], np.float64))
+    forest.words = words
+    return forest
+
+
+def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Forest:
+    """A forest with the dictionary of the documents, its findings planted into snippets of them."""
+    return train(words=dictionary(docs, text_col), between=snippets(docs, id_col, text_col))
 
 
 def _may_hold(texts: pa.Array) -> list[int]:
@@ -182,44 +233,76 @@ def _may_hold(texts: pa.Array) -> list[int]:
     return np.flatnonzero(pc.match_substring_regex(texts, "|".join(p.replace("(?i)", "(?i:", 1) + ")" if p.startswith("(?i)") else p for p in PATTERNS.values())).to_numpy(zero_copy_only=False)).tolist()
 
 
-def _findings(texts: pa.Array, forest: Forest) -> Iterator[tuple[int, str, list[tuple[int, int, str, float]]]]:
-    """(row, text, [(start, end, kind, score)]) of the rows with a candidate."""
+def judged(text: str, forest: Forest, threshold: float = 0.5) -> list[tuple[int, int, str, float, bool]]:
+    """(start, end, kind, score, is_secret) of all candidates of a text, all of which are scored.
+
+    A secret is a candidate of at least the threshold that doesn't lie within or overlap a longer secret, or as long a one of
+    higher score or earlier.
+    """
+    found = candidates(text)
+    if not found:
+        return []
+    scores = [float(s) for s in forest.score(np.array([features(text, *c, forest.words) for c in found]))]
+    starts: list[int] = []
+    ends: list[int] = []
+    secret = [False] * len(found)
+    for i in sorted((i for i, s in enumerate(scores) if s >= threshold), key=lambda i: (found[i][0] - found[i][1], -scores[i], found[i][0])):
+        s, e, _ = found[i]
+        at = bisect_left(starts, e)
+        if not at or ends[at - 1] <= s:
+            starts.insert(at, s)
+            ends.insert(at, e)
+            secret[i] = True
+    return [(*c, s, x) for c, s, x in zip(found, scores, secret, strict=True)]
+
+
+def _findings(texts: pa.Array, forest: Forest, threshold: float) -> Iterator[tuple[int, str, list[tuple[int, int, str, float, bool]]]]:
+    """(row, text, judged candidates) of the rows with a candidate."""
     for i in _may_hold(texts):
         text = texts[i].as_py()
-        if own := candidates(text):
-            yield i, text, [(*c, float(s)) for c, s in zip(own, forest.score(np.array([features(text, *c) for c in own])), strict=True)]
+        if own := judged(text, forest, threshold):
+            yield i, text, own
+
+
+def hidden(text: str, found: list[tuple[int, int, str, float, bool]], threshold: float, mark: str) -> str:
+    """The text with every candidate of at least the threshold replaced, overlapping ones as one."""
+    gone = merged([(s, e) for s, e, _, score, _ in found if score >= threshold])
+    ends = [0, *(e for _, e in gone)]
+    return mark.join(text[a:b] for a, b in zip(ends, [*(s for s, _ in gone), len(text)], strict=True))
 
 
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, end, kind, finding, score, is_secret), one row a candidate: offsets in code points, whole texts.
 
-    A null or empty text has none; repeated rows give repeated findings; a null id is kept. Other columns are not read.
+    Candidates may overlap; secrets don't, see judged. A null or empty text has none; repeated rows give repeated findings; a null id is kept. Other columns are not read.
     """
 
     def work(c: dict) -> dict:
-        rows = [(i, *f[:3], text[f[0] : f[1]], f[3]) for i, text, found in _findings(c["text"].fill_null(""), forest) for f in found]
-        out = {n: [r[k] for r in rows] for k, n in enumerate(("i", "start", "end", "kind", "finding", "score"))}
+        rows = [(i, *f[:3], text[f[0] : f[1]], *f[3:]) for i, text, found in _findings(c["text"].fill_null(""), forest, threshold) for f in found]
+        out = {n: [r[k] for r in rows] for k, n in enumerate(("i", "start", "end", "kind", "finding", "score", "is_secret"))}
         return {
             "doc_id": c["doc_id"].take(pa.array(out["i"], pa.int64())), "start": pa.array(out["start"], pa.int32()), "end": pa.array(out["end"], pa.int32()), "kind": pa.array(out["kind"], pa.string()),
-            "finding": pa.array(out["finding"], pa.string()), "score": pa.array(out["score"], pa.float64()), "is_secret": pa.array([s >= threshold for s in out["score"]], pa.bool_()),
+            "finding": pa.array(out["finding"], pa.string()), "score": pa.array(out["score"], pa.float64()), "is_secret": pa.array(out["is_secret"], pa.bool_()),
         }
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, start int, end int, kind string, finding string, score double, is_secret boolean")
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", size_col: str = "n_chars", mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
-    """docs, all rows and columns, with every secret replaced by `mark`; size_col, where there is one, is the new length of changed texts."""
+    """docs, all rows and columns, with every secret replaced by `mark`; size_col, where there is one, is the new length of changed texts.
+
+    Null texts stay null, empty and other texts without secrets as they are; repeated rows change alike; ids aren't read. An empty
+    table stays empty.
+    """
     names = docs.columns
     at, sized = names.index(text_col), names.index(size_col) if size_col in names else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, at)):
             new: dict[int, str] = {}
-            for i, text, found in _findings(batch.column(at).fill_null(""), forest):
-                gone = [f for f in found if f[3] >= threshold]
-                if gone:
-                    ends = [0, *(f[1] for f in gone)]
-                    new[i] = mark.join([text[a:b] for a, b in zip(ends, [*(f[0] for f in gone), len(text)], strict=True)])
+            for i, text, found in _findings(batch.column(at).fill_null(""), forest, threshold):
+                if any(f[4] for f in found):
+                    new[i] = hidden(text, found, threshold, mark)
             if new:
                 columns = list(batch.columns)
                 mask = np.zeros(batch.num_rows, bool)
@@ -234,4 +317,4 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", size_col: st
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return scan(docs, train())
+    return scan(docs, trained(docs))
