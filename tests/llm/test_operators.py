@@ -106,6 +106,57 @@ def test_quality_held_out(spark):
     assert {r.doc_id for r in kept.collect()} == good
 
 
+def test_quality_query(spark, docs, data):
+    """Every score anew, one document and passage at a time; folds and predictions by their definitions."""
+    from hueweave.llm import queries
+
+    got = {r.doc_id: r for r in queries.op1_quality(spark, data).collect()}
+    p = quality.train(docs, spark.read.parquet(f"{data}/labels.parquet")).p
+    kinds = quality._kinds().tolist()
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def score(text):
+        raw, hs, attention = text.encode(), [], []
+        for at in range(0, max(1, len(raw)), 512):
+            own, x = raw[at : at + 512], np.zeros(quality.WIDTH)
+            for b in own:
+                x[b] += 1
+            steps = [(kinds[raw[i]], kinds[raw[i + 1]]) for i in range(at, min(at + 512, len(raw) - 1))]
+            for a, b in steps:
+                x[256 + 8 * a + b] += 1
+            x[:256] /= max(1, len(own))
+            x[256:-1] /= max(1, len(steps))
+            grams = [int.from_bytes(raw[i : i + 8], "little") >> 12 for i in range(at, min(at + 512, len(raw) - 7))]
+            if len(raw) >= 8:
+                x[-1] = 1 - len(set(grams)) / max(1, len(grams))
+            h = np.tanh(np.sqrt(x) @ p["E"] + p["e"])
+            gate = np.tanh(h @ p["V"]) * np.array([sigmoid(v) for v in h @ p["U"]])
+            hs.append(h)
+            attention.append(float(gate @ p["w"]))
+        most = max(attention)
+        weights = [math.exp(a - most) for a in attention]
+        z = sum(w * h for w, h in zip(weights, hs)) / sum(weights)
+        return sigmoid(float(z @ p["c"] + p["b"][0]))
+
+    rows = docs.collect()
+    assert sorted(got) == sorted(r.doc_id for r in rows)
+    for r in rows:
+        g = got[r.doc_id]
+        assert math.isclose(g.score, score(r.text), abs_tol=1e-5)
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and g.predicted == int(g.score >= 0.7)
+
+
+def test_quality_bounds(spark, docs, data):
+    """What training collects is bounded in rows and passages; repeated rows of an id count once."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    one = quality.train(docs, labels)
+    twice = quality.train(docs.unionByName(docs), labels)
+    assert all(np.array_equal(one.p[k], twice.p[k]) for k in one.p)
+    fresh = quality.AttentionModel()
+    few = quality.train(docs, labels, passages=1)
+    assert all(np.array_equal(few.p[k], fresh.p[k]) for k in fresh.p)
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (7, 1), (8, 0), (13, 0), (14, 1)], "doc_id long, quality int")
     model = quality.train(odd, labels)
