@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import arrow_map, released, slices
+from hueweave.llm.common import arrow_map, cut, released, sampled_texts, slices
 
 #: Words of the dictionary at most, the texts that a word must be in, and its letters.
 DICTIONARY, LEAST, LETTERS = 50_000, 3, (4, 20)
@@ -44,16 +44,43 @@ SURE = ("cloud key", "web token", "private key")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least: int = LEAST) -> frozenset[str]:
-    """The words a-z that the most texts hold, counted over all documents; ties to the first in the alphabet."""
+    """The words a-z that the most texts hold, counted over all documents: all that are in as many texts as leaves `most` words at most.
+
+    The driver sees how many words there are of each count, then the words; no partition sorts its words for it.
+    """
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z]+"))).alias("w"))
-    counts = words.where(F.length("w").between(*LETTERS)).groupBy("w").count().where(F.col("count") >= least)
-    return frozenset(r.w for r in counts.orderBy(F.desc("count"), "w").limit(most).collect())
+    counts = cut(words.where(F.length("w").between(*LETTERS)).groupBy("w").count().where(F.col("count") >= least))
+    # counts from the powers of two downwards tell the range, then the counts within it the bound
+    level = F.floor(F.log2("count")).cast("int")
+    bound = _bound(counts.groupBy(level.alias("c")).agg(F.count("*").alias("n")).collect(), most)
+    if bound is None:
+        return frozenset()
+    exact, room = 1 << bound[0], most - bound[1]
+    if bound[2] > room:  # the last level fits in part
+        near = counts.where(level == bound[0]).groupBy(F.col("count").alias("c")).agg(F.count("*").alias("n"))
+        step = F.floor((F.col("c") - exact) * 1024 / F.lit(exact)).cast("long")  # at most 1024 counts or ranges of counts
+        part = _bound([r for r in near.groupBy(step.alias("c")).agg(F.sum("n").alias("n")).collect()], room, whole=True)
+        exact = -(-exact * (1024 + (1024 if part is None else part[0])) // 1024)
+    return frozenset(r.w for r in counts.where(F.col("count") >= exact).select("w").collect())
+
+
+def _bound(rows: list, most: int, whole: bool = False) -> tuple[int, int, int] | None:
+    """The lowest c, from the highest down, up to which the sum of n stays within `most`, or that first exceeds it; with (sum above it, its own n). `whole`: only those within."""
+    above, out = 0, None
+    for r in sorted(rows, key=lambda r: -r.c):
+        if whole and above + r.n > most:
+            break
+        out = (int(r.c), above, int(r.n))
+        above += r.n
+        if above > most:
+            break
+    return out
 
 
 def snippets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SNIPPETS, size: int = SNIPPET) -> list[str]:
-    """Pieces from the midst of n texts, those of smallest hash; what labelled findings stand between."""
-    long = docs.where(F.length(text_col) >= 2 * size).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.expr(f"substr({text_col}, length({text_col}) div 4 + 1, {size})").alias("s"))
-    return [r.s for r in long.orderBy("h", "s").limit(n).collect()]
+    """Pieces from the midst of texts of n ids, those of smallest hash; what labelled findings stand between."""
+    some = sampled_texts(docs.where(F.length(text_col) >= 2 * size), n, id_col, text_col)
+    return [r.s for r in sorted(some.select("h", F.expr(f"substr(text, length(text) div 4 + 1, {size})").alias("s")).collect())]
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:

@@ -384,7 +384,13 @@ def test_secrets_held_out(spark, docs):
 
 def test_dictionary(spark):
     df = spark.createDataFrame([("river stone River",), ("river, hill",), ("stone river hill",), ("hill x yes",), (None,), ("",)], "text string")
-    assert secret_scan.dictionary(df, least=2) == {"river", "stone", "hill"} and secret_scan.dictionary(df, most=1, least=1) == {"hill"}
+    assert secret_scan.dictionary(df, least=2) == {"river", "stone", "hill"} and secret_scan.dictionary(df, most=2, least=1) == {"hill", "river"} and secret_scan.dictionary(df, most=1, least=1) == set()
+    # ties of the last count stay out as a whole, so that there are never more
+    many = spark.createDataFrame([(" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)),) for n in (300, 200, 200, 150, 100, 100, 100, 40, 40, 7)], "text string")
+    held = [sum(i < n for n in (300, 200, 200, 150, 100, 100, 100, 40, 40, 7)) for i in range(300)]
+    for most in (5, 7, 30, 40, 99, 100, 160, 250, 300, 1000):
+        got = len(secret_scan.dictionary(many, most=most, least=1))
+        assert got == max(sum(h >= c for h in held) for c in (*held, 99) if sum(h >= c for h in held) <= most)
     words = frozenset(["river", "rivers", "stone"])
     assert secret_scan.covered("xriversstoney", words) == 11 and secret_scan.covered("", words) == 0
 
