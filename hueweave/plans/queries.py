@@ -81,8 +81,9 @@ def seq_clean(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d, 1).select("doc_id", "file_id", F.length("seq").cast("long").alias("len"), F.md5("seq").alias("hash"))
 
 
-@_query("revcomp_canonical", _with() + f"""select doc_id, any_value(md5({_RC.format('seq')})) as seq_rc, count(*) as n, count_if(w < {_RC.format('w')}) as n_canonical,
-  {_DIGEST.format(_RC.format('w')).replace('digest', 'rc')}, {_DIGEST.format(f"least(w, {_RC.format('w')})").replace('digest', 'canon')} from wins join seqs using (doc_id) group by doc_id""")
+@_query("revcomp_canonical", _with() + f"""select * from (select doc_id, md5({_RC.format('seq')}) as seq_rc from seqs) join (
+  select doc_id, count(*) as n, count(*) filter (w < r) as n_canonical, {_DIGEST.format('r').replace('digest', 'rc')}, {_DIGEST.format('least(w, r)').replace('digest', 'canon')}
+  from (select doc_id, w, {_RC.format('w')} r from wins) group by doc_id) using (doc_id)""")
 def revcomp_canonical(spark: SparkSession, d: str) -> DataFrame:
     rows = window_strings(records(spark, d).withColumn("seq_rc", F.md5(B.revcomp("seq"))), K)
     return rows.groupBy("doc_id", "seq_rc").agg(n(), F.count_if(B.is_canonical("kmer")).alias("n_canonical"), digest(B.revcomp("kmer"), "rc"), digest(B.canonical("kmer"), "canon"))
@@ -375,7 +376,7 @@ def alphabet(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("bases_roundtrip", """with letters as (select doc_id, unnest(string_split(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '')) c from documents)
-select doc_id, count(*) as n, count(b) as n_bases, coalesce(sum(instr('ACGT', b) - 1), 0)::bigint as codes, count_if(b = 'A') as n_a, count_if(b = 'G') as n_g
+select doc_id, count(*) as n, count(b) as n_bases, coalesce(sum(instr('ACGT', b) - 1), 0)::bigint as codes, count(*) filter (b = 'A') as n_a, count(*) filter (b = 'G') as n_g
 from (select doc_id, case when c in ('A', 'C', 'G', 'T') then c end b from letters where c <> '') group by doc_id""")
 def bases_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     own = documents(spark, d).select("doc_id", F.explode(F.split(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "")).alias("c")).where("c <> ''")
