@@ -209,11 +209,12 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kind: str = "bpe", ids: str = "ids", count: str = "n_tokens", decoded: str = "decoded") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kind: str = "bpe", ids: str = "ids", count: str = "n_tokens", decoded: str = "decoded", most: int = BYTES) -> DataFrame:
     """docs with the piece ids of each whole text, how many they are, and the text decoded from them.
 
     Null text counts as empty: no ids, decoded empty. Columns of docs named like one of the three give way to it.
     Word marks within a text are decoded as spaces, as the library does. Nothing is shuffled; repeated rows stay.
+    `most` bytes of text are encoded at once: more share more prefixes and hold more memory.
     """
     v = Vocabulary(path or model_path(), kind)
     kept = docs.drop(ids, count, decoded)
@@ -223,7 +224,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kin
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(v)
         for whole in batches:
-            for batch in slices(whole, at, BYTES):
+            for batch in slices(whole, at, most):
                 values, sizes = own.encode(batch.column(at).fill_null(""))
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values))
@@ -234,4 +235,4 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kin
 
 
 def op2(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path).drop("text")
+    return encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, most=8_000_000).drop("text")
