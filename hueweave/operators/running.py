@@ -75,8 +75,8 @@ def running_sum(df: DataFrame, keys: list[str | Column], value: Column, name: st
 
 
 def following(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with `name`: the next larger value of the long `key`, which is unique and not null; after the largest, the smallest."""
+    """df with `name`: the next larger value of `key`, which is unique and not null; after the largest, the smallest."""
     ranged = in_ranges(df, key)
-    after = _by_range(ranged, F.min(key), "long", lambda firsts: firsts[1:] + firsts[:1])
+    after = _by_range(ranged, F.min(key), df.schema[key].dataType.simpleString(), lambda firsts: firsts[1:] + firsts[:1])
     lead = F.lead(key).over(Window.partitionBy("__range").orderBy(key))
     return ranged.withColumn("__lead", lead).join(after, "__range").withColumn(name, F.coalesce("__lead", "__given")).drop("__range", "__lead", "__given")
