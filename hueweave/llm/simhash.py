@@ -11,7 +11,7 @@ only the edges of a spanning forest leave the list, never its pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -198,6 +198,11 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text), k))
 
 
+def words_in(k: int) -> Callable[[str], np.ndarray]:
+    """The set of k-word shingles of a text."""
+    return lambda text: shingle_set(text, k)
+
+
 def set_key(s: np.ndarray) -> int:
     """A signed 64-bit digest of a set of shingles."""
     return int(np.uint64(xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), 7)).view(np.int64))
@@ -209,10 +214,10 @@ def parities(s: np.ndarray) -> bytes:
     return of(BITS) + (of(WIDE) if len(s) > BITS else b"")
 
 
-def _common(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(docs: DataFrame, id_col: str, text_col: str, of: Callable[[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that are in several of about SAMPLE texts, and in how many; COMMON at most."""
     few = docs.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, docs.count() // SAMPLE))) == 0)
-    work = lambda c: {"h": pa.array([shingle_set(t, k).view(np.int64) for t in texts_of(c["text"])], pa.list_(pa.int64()))}
+    work = lambda c: {"h": pa.array([of(t).view(np.int64) for t in texts_of(c["text"])], pa.list_(pa.int64()))}
     each = arrow_map(few.select(F.col(text_col).alias("text")), work, "h array<long>").select(F.explode("h").alias("h"))
     rows = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     got = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2)
@@ -220,18 +225,19 @@ def _common(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[np.nda
     return h[order], got[order, 1]
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = ALIKE) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: Callable[[str], np.ndarray] = words_in(5), alike: float = ALIKE) -> DataFrame:
     """(id, node, n, bits, keys, mins): digest, size and parities of each text's set of shingles, its prefix, and its least shingles by MINS orders.
 
     The prefix are the n - ceil(alike n) + 1 first of the n shingles in one order of all shingles, so two sets that reach
     `alike` share one of it. Common shingles come last; which are, is known from a sample, on which only speed depends.
+    `of` makes a text's set of distinct 64-bit hashes, of five-word shingles if not given.
     """
-    h, often = _common(docs, id_col, text_col, shingle)
+    h, often = _common(docs, id_col, text_col, of)
 
     def work(c: dict) -> dict:
         out: dict[str, list] = {"node": [], "n": [], "bits": [], "keys": [], "mins": []}
         for t in texts_of(c["text"]):
-            s = shingle_set(t, shingle)
+            s = of(t)
             rank = np.zeros(len(s), np.int64)
             if len(h):
                 at = np.minimum(np.searchsorted(h, s), len(h) - 1)
@@ -335,30 +341,30 @@ def _may_link(alike: float, every: bool):
     return run
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, alike: float) -> DataFrame:
+def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, of: Callable[[str], np.ndarray], alike: float) -> DataFrame:
     """(x, y, ok) of the pairs: whether the Jaccard is `alike` or more, from the texts of a and b; of an id's several texts, the one of the right digest counts."""
 
     def work(c: dict) -> dict:
         ok, last, own = [], None, None
         for x, y, s, t in zip(c["x"].to_pylist(), c["y"].to_pylist(), texts_of(c["s"]), texts_of(c["t"]), strict=True):
             if last != s:
-                last, own = s, shingle_set(s, shingle)
-            other = shingle_set(t, shingle)
+                last, own = s, of(s)
+            other = of(t)
             both = len(np.intersect1d(own, other, assume_unique=True))
             ok.append(both >= alike * (len(own) + len(other) - both) - 1e-9 and set_key(own) == x and set_key(other) == y)
         return {"x": c["x"], "y": c["y"], "ok": pa.array(ok, pa.bool_())}
 
-    def texts(of: str, name: str) -> DataFrame:
+    def texts(end: str, name: str) -> DataFrame:
         """Texts of the pairs' ids only, so that no others are shuffled."""
-        ids = cut(pairs.select(F.col(of).alias("id")).distinct())
+        ids = cut(pairs.select(F.col(end).alias("id")).distinct())
         own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(name))
-        return own.join(F.broadcast(ids) if ids.count() <= IDS else ids, "id", "left_semi").withColumnRenamed("id", of)
+        return own.join(F.broadcast(ids) if ids.count() <= IDS else ids, "id", "left_semi").withColumnRenamed("id", end)
 
     named = pairs.join(texts("a", "s"), "a").join(texts("b", "t"), "b")
     return cut(arrow_map(named.select("x", "y", "s", "t"), work, "x long, y long, ok boolean"))
 
 
-def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, alike: float = ALIKE, most: int = LIST) -> DataFrame:
+def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, of: Callable[[str], np.ndarray] = words_in(5), alike: float = ALIKE, most: int = LIST) -> DataFrame:
     """(node, root) of the nodes of `own` (of shingle_sets, ids known) that are linked: every two sets of Jaccard `alike` or more are in one component, by such links only.
 
     Nodes that share a shingle are listed together, each list once. In every round a node is verified against the first
@@ -401,7 +407,7 @@ def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
         """Verifies those of the pairs that are new; whether there are more links."""
         nonlocal roots, links, tested
         new = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
-        got = _alike(new, docs, id_col, text_col, shingle, alike)
+        got = _alike(new, docs, id_col, text_col, of, alike)
         good = got.where("ok").select("x", "y")
         tested = got.select("x", "y") if tested is None else tested.unionByName(got.select("x", "y"))
         if not good.limit(1).count():
@@ -441,8 +447,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     copies of each other stay each for itself; of those that are, the one of the smallest digest of its shingles, then of its
     columns. An empty table stays empty; other columns are kept as they are.
     """
-    own = cut(shingle_sets(docs, id_col, text_col, shingle, alike).where("id is not null"))
-    roots = near_copies(own, docs, id_col, text_col, shingle, alike)
+    own = cut(shingle_sets(docs, id_col, text_col, words_in(shingle), alike).where("id is not null"))
+    roots = near_copies(own, docs, id_col, text_col, words_in(shingle), alike)
     to = own.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     kept = to.groupBy("root").agg(F.min(F.struct("id", "node")).alias("k")).select("k.id", "k.node")
     counts = own.groupBy("id").count()

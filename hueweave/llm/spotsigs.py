@@ -8,18 +8,18 @@ near lengths are compared, through their rarest spots.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import arrow_map, components, cut, texts_of
-from hueweave.operators.running import following
+from hueweave.llm import simhash
+from hueweave.llm.common import arrow_map, cut, texts_of
+from hueweave.operators.running import following, in_ranges
 
 #: Content words of a chain, and the common words that anchor one (English, German, French, Spanish).
 CHAIN = 3
@@ -74,75 +74,96 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, fingerprint string")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id, n_links) of each row: signatures of Jaccard `threshold` or more link; classes are what links reach.
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = simhash.LIST) -> DataFrame:
+    """(doc_id, component_id) of each row: signatures of Jaccard `threshold` or more link; classes are what links reach.
 
-    Equal signatures are one node, so copies make no pairs. A node is looked up under the spots of its prefix, rarest
-    first (of two sets that reach the threshold the prefixes meet), and by strip of set length, each strip as wide as the
-    threshold allows, with the strip above. n_links counts the different signatures linked to. Null text: the empty signature, alike only to
-    itself. Rows with a null id have null in both. Repeated rows stay. An empty table gives an empty table.
+    Equal signatures are one node, so copies make no pairs. A node is listed under the spots of its prefix, common ones
+    last (of two sets that reach the threshold the prefixes meet); a list is parted where lengths rule out a link, one of over
+    `most` rows split, and parities of spots prune pairs before the exact Jaccard of the texts' spots. Null text: the empty signature, alike
+    only to itself. Rows with a null id have a null component. Repeated rows stay. An empty table gives an empty table.
     """
-    own = cut(fingerprints(docs, id_col, text_col))
-    sets = cut(own.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node")).withColumn("n", (F.length("fingerprint") / 8).cast("int")).select("node", "fingerprint", "n"))
-    sets = cut(sets.withColumn("key", F.xxhash64("fingerprint")))
-    full = sets.where("n > 0")
-    items = full.select("key", "n", F.explode(F.expr("transform(sequence(0, n - 1), i -> substr(fingerprint, 8 * i + 1, 8))")).alias("spot"))
-    rare = Window.partitionBy("key").orderBy("f", "spot")
-    ranked = items.join(items.groupBy("spot").agg(F.count("*").alias("f")).where("f > 1"), "spot", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("r", F.row_number().over(rare))
-    prefix = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("f") > 1)).select("key", "n", "spot")
-    strip = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int") if threshold < 1 else F.col("n")
-    low = prefix.select(F.col("key").alias("a"), F.col("n").alias("na"), "spot", strip.alias("s"))
-    high = prefix.select(F.col("key").alias("b"), F.col("n").alias("nb"), "spot", F.explode(F.array(strip, strip - 1)).alias("s"))
-    pairs = low.join(high, ["spot", "s"]).where(f"(na < nb or (na = nb and a < b)) and na >= nb * {threshold}").select("a", "b").distinct()
-    text = sets.select("key", "fingerprint")
-    named = pairs.join(text.withColumnRenamed("key", "a").withColumnRenamed("fingerprint", "x"), "a").join(text.withColumnRenamed("key", "b").withColumnRenamed("fingerprint", "y"), "b")
-    work = lambda c: {"a": c["a"], "b": c["b"], "near": [likeness(from_text(x), from_text(y)) for x, y in zip(c["x"].to_pylist(), c["y"].to_pylist(), strict=True)]}
-    links = cut(arrow_map(named.select("a", "b", "x", "y"), work, "a long, b long, near double").where(F.col("near") >= threshold).select("a", "b"))
-    roots = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("key")).count()
-    at = sets.join(roots, sets["key"] == roots["node"], "left").select("key", "fingerprint", sets["node"], F.coalesce("root", "key").alias("root"))
-    named = at.join(at.groupBy("root").agg(F.min("node").alias("component_id")), "root").join(degree, "key", "left").select("fingerprint", "component_id", F.coalesce("count", F.lit(0)).alias("n_links"))
-    known = F.col("doc_id").isNotNull()
-    return own.join(named, "fingerprint", "left").select("doc_id", F.when(known, F.col("component_id")).alias("component_id"), F.when(known, F.col("n_links")).alias("n_links"))
+    of = lambda text: spots(text).astype(np.uint64)
+    named = docs.where(F.col(id_col).isNotNull())
+    own = cut(simhash.shingle_sets(named, id_col, text_col, of, threshold))
+    roots = simhash.near_copies(own, named, id_col, text_col, of, threshold, most)
+    nodes = own.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    rest = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("component_id"))
+    return own.select("node", F.col("id").alias("doc_id")).join(classes, "node").select("doc_id", "component_id").unionByName(rest)
 
 
 #: Ids a group of op6; the next document of a group's last comes to it as one more row.
 WIDTH = 1024
 #: So many heads are broadcast (about 64 MB); more are joined by a shuffle.
 HEADS = 1_000_000
+#: Rows of a group of ids, beyond which its rows (null or much repeated ids) are dealt in ranges of ids and the first HEAD characters of texts; copies of a row that are given out together.
+CROWD, HEAD, LOT = 16 * WIDTH, 64, 1000
 
 
 def with_next(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """work(id, text, next text) of each row, in descending id order within groups of near ids; the last row's next is the first row.
 
     Texts are shuffled once, by group; one head row of each group goes to the group above it too. Rows of one id follow
-    each other by text. Null ids come last. Rows stream through, so a group may be of any size.
+    each other by text. Null ids come last. Rows stream through, so a group may be of any size. Of a group with over
+    CROWD rows, equal rows (same id, same text) are one in that order, and the ranges its rows are dealt in are groups; each
+    copy of such a row but the last is its own next, and these are dealt in lots.
     """
     lowest = -(1 << 62)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.withColumn("g", F.coalesce(F.floor(F.col("id") / WIDTH), F.lit(lowest)).cast("long")).withColumn("i", F.coalesce("id", F.lit(lowest)))
-    heads = cut(following(own.groupBy("g").agg(F.max("i").alias("i")), "g", "to"))
-    tops = heads.select("g", "i", "to")
-    first = own.join(F.broadcast(tops) if heads.count() <= HEADS else tops, ["g", "i"]).groupBy(F.col("to").alias("g")).agg(F.min("text").alias("text"))
-    extra = first.select(F.lit(None).cast("long").alias("id"), "text", "g", F.lit(None).cast("long").alias("i"), F.lit(True).alias("borrowed"))
-    rows = own.select("id", "text", "g", "i", F.lit(False).alias("borrowed")).unionByName(extra)
-    dealt = rows.repartition("g").sortWithinPartitions("g", "borrowed", F.desc("i"), "text").select("g", "id", "borrowed", "text")
+    groups = cut(own.groupBy("g").agg(F.max("i").alias("i"), F.count("*").alias("n")))
+    small = lambda df: F.broadcast(df) if groups.count() <= HEADS else df
+    crowded = groups.where(F.col("n") > CROWD).select("g")
+    starts, ranged = groups.where(F.col("n") <= CROWD).select("g", F.lit(0).alias("r"), "i", F.lit(None).cast("string").alias("text")), None
+    if crowded.limit(1).count():
+        each = own.join(small(crowded), "g", "left_semi").groupBy("g", "i", "id", "text").agg(F.count("*").alias("copies"))
+        own = own.join(small(crowded), "g", "left_anti")
+        ranged = in_ranges(each, F.desc("g"), F.desc("i"), F.substring("text", 1, HEAD)).withColumnRenamed("__range", "r")
+        # i from the largest on, as the complement
+        least = ranged.groupBy("g", "r").agg(F.min(F.struct(F.bitwise_not("i").alias("j"), "text")).alias("m"))
+        starts = starts.unionByName(least.select("g", "r", F.bitwise_not("m.j").alias("i"), "m.text"))
+    own = own.withColumn("r", F.lit(0))
+    heads = cut(following(starts.withColumn("at", F.struct("g", (-F.col("r")).alias("s"))), "at", "to"))
+    to = [F.col("to.g").alias("to_g"), (-F.col("to.s")).alias("to_r")]
+    found = own.join(small(heads.where("text is null").select("g", "i", *to)), ["g", "i"]).groupBy("to_g", "to_r").agg(F.min("text").alias("text"))
+    first = found.unionByName(heads.where("text is not null").select(*to, "text"))
+    extra = first.select(F.lit(None).cast("long").alias("id"), "text", F.col("to_g").alias("g"), F.col("to_r").alias("r"), F.lit(None).cast("long").alias("i"), F.lit(True).alias("borrowed"))
+    columns = ["id", "text", "g", "r", "i"]
+    rows = own.select(columns) if ranged is None else own.select(columns).unionByName(ranged.select(columns))
+    dealt = rows.withColumn("borrowed", F.lit(False)).unionByName(extra).repartition("g", "r")
+    dealt = dealt.sortWithinPartitions("g", "r", "borrowed", F.desc("i"), "text").select("g", "r", "id", "borrowed", "text")
+
+    # a batch may hold null ids only, so types are given
+    named = [x.strip().split(" ") for x in schema.split(",")]
+    kinds = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[k]) for n, k in named])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
             out = []
-            for g, i, borrowed, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, r, i, borrowed, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held is not None:
-                    if held[0] != g:
+                    if held[0] != (g, r):
                         raise ValueError("a group without its next head")
                     out.append(work(held[1], held[2], text))
-                held = None if borrowed else (g, i, text)
+                held = None if borrowed else ((g, r), i, text)
             if out:
-                names = list(out[0])
-                yield pa.RecordBatch.from_pydict({n: [o[n] for o in out] for n in names})
+                yield pa.RecordBatch.from_pydict({n: [o[n] for o in out] for n in kinds.names}, kinds)
 
-    return dealt.mapInArrow(run, schema)
+    def repeat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out, most = work(i, text, text), max(1, 1_000_000 // (len(text) + 1))
+                while left > 0:
+                    yield pa.RecordBatch.from_pydict({n: [out[n]] * min(left, most) for n in kinds.names}, kinds)
+                    left -= most
+
+    done = dealt.mapInArrow(run, schema)
+    if ranged is None:
+        return done
+    copies = ranged.where("copies > 1").withColumn("lot", F.explode(F.expr(f"sequence(0L, floor((copies - 2) / {LOT}))")))
+    lots = copies.select("id", "text", F.expr(f"least({LOT}L, copies - 1 - lot * {LOT})").alias("n"), "lot").repartition("id", F.xxhash64("text"), "lot")
+    return done.unionByName(lots.select("id", "text", "n").mapInArrow(repeat, schema))
 
 
 def edited(text: str, other: str) -> str:

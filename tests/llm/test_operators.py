@@ -500,6 +500,34 @@ def test_spotsigs_query(spark, docs, odd, none, width, monkeypatch):
         assert key(spotsigs.op6(df).collect()) == key(brute_spots([(r.doc_id, r.text) for r in df.collect()]))
 
 
+@pytest.mark.parametrize("crowd,lot", [(3, 2), (40, 1000)])
+def test_spotsigs_crowded_ids(spark, odd, none, crowd, lot, monkeypatch):
+    """Null and much repeated ids, with copies of whole rows, are dealt in ranges and lots; all rows stay and follow each other as by brute force."""
+    rng = random.Random(6)
+    for name, value in (("WIDTH", 8), ("CROWD", crowd), ("LOT", lot), ("HEAD", 4)):
+        monkeypatch.setattr(spotsigs, name, value)
+    rows = [(None, prose(rng.randrange(40), 12)) for _ in range(90)] + [(7, prose(rng.randrange(60), 12)) for _ in range(90)] + [(11, "the same text of all")] * 60
+    rows += [(None, ""), (None, None), (7, None)] + [(i, prose(i, 15)) for i in range(-20, 40)]
+    rng.shuffle(rows)
+    key = lambda rows: sorted(map(repr, map(tuple, rows)))
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(None, "the one")] * 50, "doc_id long, text string"), odd, none):
+        assert key(spotsigs.op6(df).collect()) == key(brute_spots([(r.doc_id, r.text) for r in df.collect()]))
+
+
+def test_spotsigs_common_spots(spark):
+    """Spots that most sets share: their lists are split and no link is lost."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        text = "the old red fox is a sly one of them " * 3 + " the ".join(own)
+        rows += [(2 * i, text), (2 * i + 1, text + f" the {'x' * i}" if i % 3 else text.replace(own[3], "zz"))]
+    got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=6).collect()}
+    sets = [spotsigs.spots(t) for _, t in rows]
+    linked = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if spotsigs.likeness(sets[i], sets[j]) >= 0.8]
+    assert got == roots(range(len(rows)), linked) and len(linked) > 60
+
+
 def test_spotsigs_classes(spark, docs, odd, none):
     for df, threshold in ((docs, 0.8), (docs, 0.4), (odd, 0.8), (none, 0.8)):
         own = [(r.doc_id, spotsigs.spots(r.text or "")) for r in df.collect() if r.doc_id is not None]
