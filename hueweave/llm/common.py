@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,16 +48,24 @@ def slices(batch: pa.RecordBatch, at: int | None = None, most: int = SLICE) -> I
 
 
 def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, giving unused memory back at its end: workers live on, and what they held would count against the tasks after it."""
+    """run, giving unused memory back around it: workers live on, and what they held would count against the tasks after it.
+
+    Functions come pickled by value, so those of earlier tasks, with all tables they refer to, are cycles until collected.
+    """
+
+    def give_back() -> None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
 
     def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            give_back()
 
     return go
 
