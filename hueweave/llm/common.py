@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hueweave.operators.running import checkpoint_dir, cut
 
@@ -28,6 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/hueweave-{uuid.uuid4().hex}"
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a table. They go in as Arrow: lists of Python rows would start Python workers of their own, which stay."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds))
+
+
+#: The session's limit on the bytes of an Arrow batch, and what `small_batches` sets it to.
+BATCH_BYTES, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about SMALL_BATCH bytes instead of 64 MB, unless the session has a limit of its own. A longer row is a batch alone."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, SMALL_BATCH)
+
+
 #: About so many bytes of a batch are worked on at once; a row that is longer goes alone.
 SLICE = 8_000_000
 

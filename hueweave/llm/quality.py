@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import arrow_map, released, slices, texts_of
+from hueweave.llm.common import arrow_map, local_table, released, slices, texts_of
 
 PASSAGE = 512
 #: At most so many labelled rows train the model: those with the smallest hash of their id.
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked.append((r.id, r.y, r.h))
     if len({y for _, y, _ in picked}) < 2:
         return AttentionModel()
-    named = docs.sparkSession.createDataFrame(picked, f"id {chosen.schema['id'].dataType.simpleString()}, y int, h long")
+    named = local_table(docs.sparkSession, picked, f"id {chosen.schema['id'].dataType.simpleString()}, y int, h long")
     once = own.withColumn("h", F.xxhash64("text")).join(F.broadcast(named), ["id", "h"]).groupBy("id", "y").agg(F.first("text").alias("text"))
 
     def work(c: dict) -> dict:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hueweave.llm.common import LOWER, arrow_map, components, cut, released, texts_of
+from hueweave.llm.common import LOWER, arrow_map, components, cut, local_table, released, texts_of
 from hueweave.operators.running import whole_runs
 
 #: A posting list above this many rows is dealt out as pairs of chunks of at most about this size, all of which are compared.
@@ -436,7 +436,7 @@ def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, of:
         met = outside.join(parts, "run").select(F.xxhash64("list", "part").alias("list"), F.explode(F.array_union("others", "nodes")).alias("node"))
         test(candidates(at.where("run is null").select("list", "node", "root").unionByName(rooted(met).select("list", "node", "root")), True))
         break
-    return roots if roots is not None else docs.sparkSession.createDataFrame([], "node long, root long")
+    return roots if roots is not None else local_table(docs.sparkSession, [], "node long, root long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = ALIKE) -> DataFrame:
