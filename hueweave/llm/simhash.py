@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Least Jaccard of the sets of shingles of two copies.
 ALIKE = 0.8
 #: Bits of the parity sketch, and of a second one of sets of over BITS shingles; about so many texts show which shingles are common; so many
-#: common ones are told apart; rows of a list or a part of one; so many ids are broadcast, more are joined by a shuffle.
+#: common ones are told apart; rows of a list or a part of one; so many ids go to all tasks (8 MB), more are joined by a shuffle.
 BITS, WIDE, SAMPLE, COMMON, LIST, IDS = 1024, 4096, 5000, 100_000, 2000, 1_000_000
 #: Orders of all shingles by whose least ones nodes are listed first: by products with odd numbers.
 MINS = 4
@@ -219,10 +219,10 @@ def _common(docs: DataFrame, id_col: str, text_col: str, of: Callable[[str], np.
     few = docs.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, docs.count() // SAMPLE))) == 0)
     work = lambda c: {"h": pa.array([of(t).view(np.int64) for t in texts_of(c["text"])], pa.list_(pa.int64()))}
     each = arrow_map(few.select(F.col(text_col).alias("text")), work, "h array<long>").select(F.explode("h").alias("h"))
-    rows = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    got = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 2)
-    h, order = got[:, 0].copy().view(np.uint64), np.argsort(got[:, 0].copy().view(np.uint64))
-    return h[order], got[order, 1]
+    rows = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, often = rows.column("h").to_numpy().view(np.uint64), rows.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], often[order]
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: Callable[[str], np.ndarray] = words_in(5), alike: float = ALIKE) -> DataFrame:
@@ -341,6 +341,24 @@ def _may_link(alike: float, every: bool):
     return run
 
 
+def _with_ids(docs: DataFrame, ids: DataFrame, most: int = IDS) -> DataFrame:
+    """The rows of docs (id, ...) with one of the ids (id), which are distinct and written down.
+
+    Up to `most` ids go to the tasks as one array: a broadcast join would take some hundred bytes an id on the driver.
+    """
+    if ids.count() > most:
+        return docs.join(ids, "id", "left_semi")
+    kept = np.sort(ids.where("id is not null").toArrow().column("id").to_numpy())
+
+    @F.arrow_udf("boolean")
+    def among(x: pa.Array) -> pa.Array:
+        own = pc.fill_null(x, 0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(kept, own), max(0, len(kept) - 1))
+        return pc.and_(pa.array(kept[at] == own if len(kept) else np.zeros(len(own), bool)), pc.is_valid(x))
+
+    return docs.where(among("id"))
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, of: Callable[[str], np.ndarray], alike: float) -> DataFrame:
     """(x, y, ok) of the pairs: whether the Jaccard is `alike` or more, from the texts of a and b; of an id's several texts, the one of the right digest counts."""
 
@@ -357,8 +375,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, of: Ca
     def texts(end: str, name: str) -> DataFrame:
         """Texts of the pairs' ids only, so that no others are shuffled."""
         ids = cut(pairs.select(F.col(end).alias("id")).distinct())
-        own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(name))
-        return own.join(F.broadcast(ids) if ids.count() <= IDS else ids, "id", "left_semi").withColumnRenamed("id", end)
+        return _with_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(name)), ids).withColumnRenamed("id", end)
 
     named = pairs.join(texts("a", "s"), "a").join(texts("b", "t"), "b")
     return cut(arrow_map(named.select("x", "y", "s", "t"), work, "x long, y long, ok boolean"))

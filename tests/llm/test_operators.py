@@ -885,3 +885,29 @@ def test_what_is_no_copy_stays(spark):
     under = [g for g in range(100) if 5 * len(sets[2 * g] & sets[2 * g + 1]) < 4 * len(sets[2 * g] | sets[2 * g + 1])]
     got = {r.doc_id for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(under) > 40 and {2 * g + 1 for g in under} <= got and got == brute_dedup(rows)
+
+
+@pytest.mark.parametrize("hubs,nodes", [(4, 0), (1000, 0), (1000, 500_000)])
+def test_components_in_one_task(spark, monkeypatch, hubs, nodes):
+    """Few edges take one task and no broadcast, and agree with the stars that more take."""
+    monkeypatch.setattr(common, "HUBS", hubs)
+    monkeypatch.setattr(common, "NODES", nodes)
+    rng = random.Random(41)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(400)] + [(5000, x) for x in range(4000, 4300)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    alone = common.components(df)
+    assert "Broadcast" not in alone._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, alone.collect()))
+    assert got == sorted(map(tuple, common.components(df, solo=0).collect()))
+    assert dict(got) == {n: r for n, r in roots(sorted({x for e in edges for x in e}), edges).items() if n in dict(got)}
+
+
+def test_ids_take_no_broadcast_join(spark):
+    """The driver holds ids as one array, whose rows are those of a join."""
+    df = spark.createDataFrame([(i % 90 if i % 7 else None, f"t{i}") for i in range(400)], "id long, text string")
+    for few in ([3, -5, 88, 0, 10**12], []):
+        ids = common.cut(spark.createDataFrame([(x,) for x in few], "id long"))
+        got = simhash._with_ids(df, ids)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        want = sorted((r.id, r.text) for r in df.collect() if r.id in few)
+        assert sorted(map(tuple, got.collect())) == want == sorted(map(tuple, simhash._with_ids(df, ids, 0).collect()))
