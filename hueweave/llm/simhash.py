@@ -186,9 +186,6 @@ ALIKE = 0.8
 #: Bits of the parity sketch, and of a second one of sets of over BITS shingles; about so many texts show which shingles are common; so many
 #: common ones are told apart; rows of a list or a part of one; so many ids go to all tasks (8 MB), more are joined by a shuffle.
 BITS, WIDE, SAMPLE, COMMON, LIST, IDS = 1024, 4096, 5000, 100_000, 2000, 1_000_000
-#: Orders of all shingles by whose least ones nodes are listed first: by products with odd numbers.
-MINS = 4
-ODD = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64)) for i in range(MINS)]
 #: Nodes of most copies that every part of a long list holds.
 PIVOTS = 16
 
@@ -214,6 +211,12 @@ def parities(s: np.ndarray) -> bytes:
     return of(BITS) + (of(WIDE) if len(s) > BITS else b"")
 
 
+def block_keys(fps: np.ndarray) -> np.ndarray:
+    """The keys of 64-bit fingerprints in the index of quadruples, a row each, as `_key` has them: fingerprints that differ in up to three bits share one."""
+    parts = np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8).astype(np.int64)
+    return np.stack([sum((parts[:, p] << 8 * i for i, p in enumerate(q)), np.full(len(parts), block << 32, np.int64)) for block, q in enumerate(steiner_quads())], axis=1)
+
+
 def _common(docs: DataFrame, id_col: str, text_col: str, of: Callable[[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that are in several of about SAMPLE texts, and in how many; COMMON at most."""
     few = docs.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, docs.count() // SAMPLE))) == 0)
@@ -226,7 +229,9 @@ def _common(docs: DataFrame, id_col: str, text_col: str, of: Callable[[str], np.
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: Callable[[str], np.ndarray] = words_in(5), alike: float = ALIKE) -> DataFrame:
-    """(id, node, n, bits, keys, mins): digest, size and parities of each text's set of shingles, its prefix, and its least shingles by MINS orders.
+    """(id, node, n, bits, keys, blocks): digest, size and parities of each text's set of shingles, its prefix, and the index keys of its SimHash fingerprint.
+
+    The fingerprint is of the set of shingles, so that equal sets have equal ones.
 
     The prefix are the n - ceil(alike n) + 1 first of the n shingles in one order of all shingles, so two sets that reach
     `alike` share one of it. Common shingles come last; which are, is known from a sample, on which only speed depends.
@@ -235,7 +240,8 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     h, often = _common(docs, id_col, text_col, of)
 
     def work(c: dict) -> dict:
-        out: dict[str, list] = {"node": [], "n": [], "bits": [], "keys": [], "mins": []}
+        out: dict[str, list] = {"node": [], "n": [], "bits": [], "keys": []}
+        fps = []
         for t in texts_of(c["text"]):
             s = of(t)
             rank = np.zeros(len(s), np.int64)
@@ -246,11 +252,11 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out["node"].append(set_key(s))
             out["n"].append(len(s))
             out["bits"].append(parities(s))
-            out["mins"].append(np.unique(s[[int(np.argmin(s * m)) for m in ODD]] if len(s) else s).view(np.int64))
+            fps.append(majority(s))
             out["keys"].append(s[np.lexsort((s, rank))[:first]].view(np.int64))
-        return {"id": c["id"], "node": pa.array(out["node"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "bits": pa.array(out["bits"], pa.binary()), **{k: pa.array(out[k], pa.list_(pa.int64())) for k in ("keys", "mins")}}
+        return {"id": c["id"], "node": pa.array(out["node"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "bits": pa.array(out["bits"], pa.binary()), "keys": pa.array(out["keys"], pa.list_(pa.int64())), "blocks": pa.array(list(block_keys(np.array(fps, np.uint64))), pa.list_(pa.int64()))}
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, node long, n int, bits binary, keys array<long>, mins array<long>")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, node long, n int, bits binary, keys array<long>, blocks array<long>")
 
 
 def _lists(alike: float, most: int):
@@ -384,15 +390,16 @@ def _alike(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, of: Ca
 def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, of: Callable[[str], np.ndarray] = words_in(5), alike: float = ALIKE, most: int = LIST) -> DataFrame:
     """(node, root) of the nodes of `own` (of shingle_sets, ids known) that are linked: every two sets of Jaccard `alike` or more are in one component, by such links only.
 
-    Nodes that share a shingle are listed together, each list once. In every round a node is verified against the first
+    Nodes that share a key are listed together, each list once. In every round a node is verified against the first
     node before it that sizes and parities admit and that is in another component; nodes of most copies come first, so a
-    group mostly gathers around one of them. The first round lists nodes under MINS shingles only, which gathers most
-    groups; then under their prefixes, which miss no link, without lists of one component. When rounds find no more links, all untested pairs that
+    group mostly gathers around one of them. The first round lists nodes in the index of SimHash fingerprints (see steiner_quads), so all
+    that differ in up to three bits meet, which gathers most groups; then under their prefixes, which find the links that no
+    fingerprint shows, without lists of one component. When rounds find no more links, all untested pairs that
     sizes and parities admit between components are verified, in long lists too: there, what is outside the largest
     component meets all parts.
     """
     first = lambda c: F.first(c).alias(c)  # noqa: E731 these are equal for equal nodes
-    nodes = cut(own.groupBy("node").agg(first("n"), first("bits"), first("keys"), first("mins"), F.min("id").alias("id"), F.count("*").cast("int").alias("copies")))
+    nodes = cut(own.groupBy("node").agg(first("n"), first("bits"), first("keys"), first("blocks"), F.min("id").alias("id"), F.count("*").cast("int").alias("copies")))
     facts = nodes.select("node", "n", "bits", "id", "copies")
     roots: DataFrame | None = None
     links: DataFrame | None = None
@@ -436,7 +443,7 @@ def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, of:
     def rows_of(lists: DataFrame) -> DataFrame:
         return cut(rooted(lists.select("list", "run", F.explode("nodes").alias("node"))))
 
-    test(candidates(rows_of(listed("mins")), False))
+    test(candidates(rows_of(listed("blocks")), False))
     lists = listed("keys")
     while True:
         at = rows_of(lists)
@@ -459,6 +466,8 @@ def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, of:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = ALIKE) -> DataFrame:
     """docs with one row of each group of copies: the one of smallest id.
 
+    SimHash fingerprints that share a block of the index give the first candidates, an exact join of shingles those that they miss; see
+    near_copies. Either are verified by the sets themselves.
     Copies are texts whose sets of five-word shingles have a Jaccard of `alike` or more, and what such links reach. Null text
     counts as empty; all empty texts are copies of each other. Rows without an id stay. Rows of one id whose texts are no
     copies of each other stay each for itself; of those that are, the one of the smallest digest of its shingles, then of its

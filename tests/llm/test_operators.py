@@ -911,3 +911,27 @@ def test_ids_take_no_broadcast_join(spark):
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
         want = sorted((r.id, r.text) for r in df.collect() if r.id in few)
         assert sorted(map(tuple, got.collect())) == want == sorted(map(tuple, simhash._with_ids(df, ids, 0).collect()))
+
+
+def test_dedup_goes_by_fingerprints(spark):
+    """The stage's first candidates come from the index of SimHash fingerprints: it alone finds each pair within three bits that is a copy."""
+    rng, rows = random.Random(51), []
+    for g in range(60):
+        words = prose(9000 + g, 400).split()
+        other = list(words)
+        for _ in range(1 + g % 4):
+            other[rng.randrange(400)] = f"new{rng.randrange(10**6)}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    rows.append((500, ""))
+    fps = {i: simhash.majority(simhash.shingle_set(t, 5)) for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = common.cut(simhash.shingle_sets(df))
+    quads = simhash.steiner_quads()
+    want = {i: [block << 32 | sum((int(f) >> 8 * p & 255) << 8 * j for j, p in enumerate(q)) for block, q in enumerate(quads)] for i, f in fps.items()}
+    assert {r.id: r.blocks for r in sets.collect()} == want
+    near = [g for g in range(60) if int(fps[2 * g] ^ fps[2 * g + 1]).bit_count() <= 3]
+    to = {r.id: r.node for r in sets.collect()}
+    # without prefixes there is only the index
+    alone = sets.withColumn("keys", F.array().cast("array<long>"))
+    at = {r.node: r.root for r in simhash.near_copies(alone, df, "doc_id", "text").collect()}
+    assert len(near) > 10 and all(at[to[2 * g]] == at[to[2 * g + 1]] for g in near)
