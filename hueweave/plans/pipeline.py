@@ -15,8 +15,8 @@ def compress(files: DataFrame, path: str, k: int = 31, records: DataFrame | None
     """An archive of the files of (file_id, path); records (file_id, seq) in place of reading them."""
     rows = read_fasta(files) if records is None else records
     n = files.count()
-    kmers, sets = colors.color_sets(rows, n, k, **how)
-    write_archive(path, files, simplitigs(kmers.select("kmer", "color"), k), k, sets if n > MAX_MASK_FILES else None)
+    runs, sets = colors.color_runs(rows, n, k, **how)
+    write_archive(path, files, simplitigs(runs, k), k, sets if n > MAX_MASK_FILES else None)
     return Archive(files.sparkSession, path)
 
 

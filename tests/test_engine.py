@@ -423,3 +423,32 @@ def test_pushdown(spark, tmp_path):
     plan = decompress(archive, ["b.fa"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<color_id" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert np.array_equal(codes_of("ACGTT", 3), codes_of("AACGT", 3)[::-1])
+
+
+@pytest.mark.parametrize("k", [21, 31])
+def test_runs_hold_all_kmers(spark, k):
+    """K-mers go packed in runs: the same k-mers and colours as by brute force, the same strings as from single k-mers, and a few bytes each."""
+    rng = random.Random(77)
+    whole = "".join(rng.choice("ACGT") for _ in range(6000))
+    seqs = [(i % 5, whole[rng.randrange(3000) :][: rng.randint(k, 3000)]) for i in range(30)] + [(0, "A" * 200), (1, "ACGT" * 60), (2, "ACGTN" * 30 + whole[:90])]
+    rows = spark.createDataFrame(seqs, "file_id int, seq string").repartition(3)
+    want = {}
+    for f, s in seqs:
+        for x in codes_of(s, k).tolist():
+            want[x] = want.get(x, 0) | 1 << f
+    how = {"invalid": "break"}
+    kmers, _ = colors.color_sets(rows, 5, k, **how)
+    assert {r.kmer: r.color for r in kmers.collect()} == want and kmers.count() == len(want)
+    runs, sets = colors.color_runs(rows, 5, k, **how)
+    held = runs.collect()
+    assert sum(r.n for r in held) == len(want) and sum(len(r.runs) for r in held) < 4 * len(want)  # a k-mer alone has eight bytes
+    assert {r.color for r in sets.collect()} == set(want.values())
+    for most in (10**6, 200):
+        got = sorted(map(tuple, simplitigs(runs, k, most=most).collect()))
+        assert got == sorted(map(tuple, simplitigs(kmers.select("kmer", "color"), k, most=most).collect()))
+        assert sorted((x, c) for c, _, s in got for x in codes_of(s, k).tolist()) == sorted(want.items())
+    # more files than a mask has bits
+    wide = spark.createDataFrame([(f * 30, s) for f, s in seqs], "file_id int, seq string")
+    runs, sets = colors.color_runs(wide, 130, k, **how)
+    of = {r.color: sum(1 << f // 30 for f in r.file_ids) for r in sets.collect()}
+    assert sorted((x, of[r.color]) for r in simplitigs(runs, k).collect() for x in codes_of(r.seq, k).tolist()) == sorted(want.items())
