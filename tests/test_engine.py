@@ -452,3 +452,29 @@ def test_runs_hold_all_kmers(spark, k):
     runs, sets = colors.color_runs(wide, 130, k, **how)
     of = {r.color: sum(1 << f // 30 for f in r.file_ids) for r in sets.collect()}
     assert sorted((x, of[r.color]) for r in simplitigs(runs, k).collect() for x in codes_of(r.seq, k).tolist()) == sorted(want.items())
+
+
+def test_digests_of_windows(spark):
+    """MD5 over arrays and sums over windows, against hashlib and strings, for sequences that end a batch's piece or are as long as a window."""
+    import hashlib
+
+    from hueweave.operators import digests
+
+    rng = random.Random(5)
+    letters = np.frombuffer("".join(rng.choice("ACGT") for _ in range(9000)).encode(), np.uint8)
+    head = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    for size in (5, 30, 31, 32):
+        got = digests.md5_heads(digests._words(letters, size), size)
+        assert len(got) == 9001 - size and all(int(got[i]) == head(letters[i : i + size].tobytes().decode()) for i in (0, 1, 77, 8191, 8192, 9000 - size))
+    seqs = [(i, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate([31, 32, 33, 400, 31, 90])] + [(3, "ACGT" * 20), (None, "A" * 50)]
+    rows = spark.createDataFrame(seqs, "doc_id long, seq string").coalesce(1)
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    least = lambda s: min(s[i : i + 7] for i in range(25))
+    cut = lambda s, k: [s[i : i + k] for i in range(len(s) - k + 1)]
+    want = sorted((str(i), len(w), sum(head(least(x)) for x in w), sum(head(min(least(x), least(rc(x)))) for x in w)) for i, s in seqs if (w := cut(s, 31)))
+    assert sorted((str(r[0]), *r[1:]) for r in digests.minimizer_sums(rows, "doc_id", 31).collect()) == want
+    want = sorted((str(i), len(w), sum(head(x[1:]) for x in w), sum(head(x[31] + x[:30]) for x in w), sum(head(rc(x[:31])) for x in w)) for i, s in seqs if (w := cut(s, 32)))
+    assert sorted((str(r[0]), *r[1:]) for r in digests.slide_sums(rows, "doc_id", 31).collect()) == want
+    # neither query makes a row or a string of a window
+    for q in ("minimizer", "slide_codes"):
+        assert "Generate" not in entry.queries()[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
