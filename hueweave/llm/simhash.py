@@ -289,10 +289,13 @@ def _lists(alike: float, most: int):
 
 
 def _may_link(alike: float, every: bool):
-    """Pairs of ids (a, b) with their nodes (x, y) in lists of (list, node, n, bits, id, root), in which nodes come in one order of all nodes.
+    """Pairs of ids (a, b) with their nodes (x, y) in lists of (list, node, n, bits, id, root, part), in which nodes come in one order of all nodes.
 
     A pair is of different roots, and sizes and parities don't rule out `alike`. Of these, each node's with the first such
     node before it, which is mostly the same in all its lists; or (every) all.
+
+    Unless every, there follow the rows (list, x) of the nodes that are in any such pair of their list, first or not: as roots only
+    merge, no other node of the list will ever be in one. Lists that are parts of a longer one (part) give no such rows.
     """
     bound = (1 - alike) / (1 + alike)
     own = BITS // 8
@@ -311,38 +314,51 @@ def _may_link(alike: float, every: bool):
         ok[big] = differ(wide[at[big]], wide[to[big]]) <= most[big]
         return ok
 
-    def pairs(left: np.ndarray, *of: np.ndarray) -> list[np.ndarray]:
+    def pairs(left: np.ndarray, paired: np.ndarray, *of: np.ndarray) -> list[np.ndarray]:
+        """The pairs of a list; sets `paired` for the rows that are in any."""
         out: list[np.ndarray] = []
+        rows = left
         for i in range(left[0], left[-1]):
             left = left[left > i]
-            if not len(left):
-                break
             hit = near(i, left, *of)
             found = left[hit]
             if len(found):
                 out.append(np.stack((np.full(len(found), i), found)))
+                paired[i] = paired[found] = True
                 if not every:
                     left = left[~hit]
+            elif not every and not paired[i]:
+                taken = rows[rows > i]  # those after it that an earlier row took
+                paired[i] = near(i, taken[paired[taken]], *of).any()
+            if not len(left):
+                break
         return out
 
     def columns(b: pa.RecordBatch) -> list[np.ndarray]:
-        c, bits = [b.column(i) for i in range(6)], b.column(3).to_pylist()
+        c, bits = [b.column(i) for i in range(7)], b.column(3).to_pylist()
         w = np.frombuffer(b"".join(x[:own] for x in bits), np.uint64).reshape(len(bits), BITS // 64)
         wide = np.frombuffer(b"".join(x[own:].ljust(WIDE // 8, b"\0") for x in bits), np.uint64).reshape(len(bits), WIDE // 64)
-        return [c[0].to_numpy(), c[1].to_numpy(), c[2].to_numpy().astype(np.int64), w, wide, c[4].to_numpy(), c[5].to_numpy()]
+        return [c[0].to_numpy(), c[1].to_numpy(), c[2].to_numpy().astype(np.int64), w, wide, c[4].to_numpy(), c[5].to_numpy(), c[6].to_numpy(zero_copy_only=False)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lists, node, n, w, wide, ids, root in whole_runs(columns(b) for b in batches if b.num_rows):
+        names = ["a", "b", "x", "y", "list"]
+        for lists, node, n, w, wide, ids, root, part in whole_runs(columns(b) for b in batches if b.num_rows):
             cuts = np.flatnonzero(lists[1:] != lists[:-1]) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(lists)]))
             two = starts[ends - starts == 2]
             two = two[near(two, two + 1, root, n, w, wide)]
+            paired = np.zeros(len(lists), bool)
+            paired[two] = paired[two + 1] = True
             got = [np.stack((two, two + 1))]
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s > 2:
-                    got += pairs(np.arange(s, e), root, n, w, wide)
+                    got += pairs(np.arange(s, e), paired, root, n, w, wide)
             at, to = np.concatenate(got, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[at], ids[to], node[at], node[to])], names=["a", "b", "x", "y"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (ids[at], ids[to], node[at], node[to])), pa.nulls(len(at), pa.int64())], names=names)
+            if not every:
+                left = np.flatnonzero(paired & ~part)
+                none = pa.nulls(len(left), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(node[left]), none, pa.array(lists[left])], names=names)
 
     return run
 
@@ -394,9 +410,10 @@ def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, of:
     node before it that sizes and parities admit and that is in another component; nodes of most copies come first, so a
     group mostly gathers around one of them. The first round lists nodes in the index of SimHash fingerprints (see steiner_quads), so all
     that differ in up to three bits meet, which gathers most groups; then under their prefixes, which find the links that no
-    fingerprint shows, without lists of one component. When rounds find no more links, all untested pairs that
-    sizes and parities admit between components are verified, in long lists too: there, what is outside the largest
-    component meets all parts.
+    fingerprint shows, without lists of one component. All rows of these lists are read in one round: of a list, only
+    the nodes that sizes and parities admit to a pair in it go on to the next, so common shingles of unlike texts are not
+    joined again. When rounds find no more links, all untested pairs that sizes and parities admit between components are
+    verified, in long lists too: there, what is outside the largest component meets all parts.
     """
     first = lambda c: F.first(c).alias(c)  # noqa: E731 these are equal for equal nodes
     nodes = cut(own.groupBy("node").agg(first("n"), first("bits"), first("keys"), first("blocks"), F.min("id").alias("id"), F.count("*").cast("int").alias("copies")))
@@ -421,11 +438,12 @@ def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, of:
             return rows
         return rows.join(rows.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list"), "list")
 
-    def candidates(rows: DataFrame, every: bool) -> DataFrame:
-        """rows: (list, node, root)."""
-        named = mixed(rows).select("list", "node", "root").join(facts, "node")
-        dealt = named.select("list", "node", "n", "bits", "id", "root", "copies").repartition("list").sortWithinPartitions("list", F.desc("copies"), "node")
-        return cut(dealt.mapInArrow(released(_may_link(alike, every)), "a long, b long, x long, y long").distinct())
+    def candidates(rows: DataFrame, every: bool) -> tuple[DataFrame, DataFrame]:
+        """rows: (list, node, root, part); the pairs (a, b, x, y) and the rows (list, node, part) of whole lists that have any."""
+        named = rows.select("list", "node", "root", "part").join(facts, "node")
+        dealt = named.select("list", "node", "n", "bits", "id", "root", "part", "copies").repartition("list").sortWithinPartitions("list", F.desc("copies"), "node")
+        found = cut(dealt.mapInArrow(released(_may_link(alike, every)), "a long, b long, x long, y long, list long").distinct())
+        return found.where("list is null").drop("list"), found.where("list is not null").select("list", F.col("x").alias("node"), F.lit(False).alias("part"))
 
     def test(pairs: DataFrame) -> bool:
         """Verifies those of the pairs that are new; whether there are more links."""
@@ -441,25 +459,26 @@ def near_copies(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, of:
         return True
 
     def rows_of(lists: DataFrame) -> DataFrame:
-        return cut(rooted(lists.select("list", "run", F.explode("nodes").alias("node"))))
+        return lists.select("list", "run", F.explode("nodes").alias("node"), F.col("run").isNotNull().alias("part"))
 
-    test(candidates(rows_of(listed("blocks")), False))
+    # lists are made without those of one root, so the first rows of each kind need no look at `mixed`
+    test(candidates(rooted(rows_of(listed("blocks"))), False)[0])
     lists = listed("keys")
-    while True:
-        at = rows_of(lists)
-        some = candidates(at, False)
-        if not some.limit(1).count():
-            break
-        if test(some):
-            continue
+    long = lists.where("run is not null")
+    some, at = candidates(rooted(rows_of(lists)), False)
+    while some.limit(1).count() and test(some):
+        parts = rows_of(long).select("list", "node", "part")
+        some, at = candidates(mixed(cut(rooted(at.unionByName(parts)))), False)
+    if long.limit(1).count():
         # a long list's nodes outside its largest component, with all of its parts
-        long = at.where("run is not null")
-        largest = long.groupBy("run", "root").count().groupBy("run").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-        outside = long.join(largest, "run").where("root <> largest").groupBy("run", "list").agg(F.collect_set("node").alias("others"))  # up to `most` and PIVOTS nodes
-        parts = lists.where("run is not null").select("run", F.col("list").alias("part"), "nodes")
-        met = outside.join(parts, "run").select(F.xxhash64("list", "part").alias("list"), F.explode(F.array_union("others", "nodes")).alias("node"))
-        test(candidates(at.where("run is null").select("list", "node", "root").unionByName(rooted(met).select("list", "node", "root")), True))
-        break
+        own = cut(rooted(rows_of(long)))
+        largest = own.groupBy("run", "root").count().groupBy("run").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+        outside = own.join(largest, "run").where("root <> largest").groupBy("run", "list").agg(F.collect_set("node").alias("others"))  # up to `most` and PIVOTS nodes
+        parts = long.select("run", F.col("list").alias("to"), "nodes")
+        met = outside.join(parts, "run").select(F.xxhash64("list", "to").alias("list"), F.explode(F.array_union("others", "nodes")).alias("node"), F.lit(True).alias("part"))
+        at = at.unionByName(met)
+    if at.limit(1).count():
+        test(candidates(mixed(cut(rooted(at))), True)[0])
     return roots if roots is not None else local_table(docs.sparkSession, [], "node long, root long")
 
 

@@ -935,3 +935,52 @@ def test_dedup_goes_by_fingerprints(spark):
     alone = sets.withColumn("keys", F.array().cast("array<long>"))
     at = {r.node: r.root for r in simhash.near_copies(alone, df, "doc_id", "text").collect()}
     assert len(near) > 10 and all(at[to[2 * g]] == at[to[2 * g + 1]] for g in near)
+
+
+def test_rows_without_a_possible_copy_are_read_once(spark, monkeypatch):
+    """Unlike texts that share a shingle go into one round of the join; chains of near copies take several rounds, and all links are found."""
+    read, real = [], simhash._may_link
+
+    def counted(alike, every):
+        run, rows = real(alike, every), spark.sparkContext.accumulator(0)
+        read.append(rows)
+
+        def count(batches):
+            for b in batches:
+                rows.add(b.num_rows)
+                yield b
+
+        return lambda batches: run(count(batches))
+
+    monkeypatch.setattr(simhash, "_may_link", counted)
+    rng, rows = random.Random(61), []
+    for i in range(300):
+        rows.append((i, prose(11_000 + i, 60) + f" shared line {i % 20} of some texts"))
+    for g in range(10):
+        words = prose(12_000 + g, 200).split()
+        for step in range(6):
+            rows.append((1000 + 10 * g + step, " ".join(words)))
+            words = words[rng.randint(8, 14) :] + prose(13_000 + 10 * g + step, 10).split()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = simhash.shingle_sets(df)
+    # all texts are listed under their rare shingles and those of the shared line alike
+    keys = F.array_distinct(F.concat("keys", F.array(F.pmod("id", F.lit(20)))))
+    to = {r.id: r.node for r in sets.collect()}
+    at = {r.node: r.root for r in simhash.near_copies(common.cut(sets.withColumn("keys", keys)), df, "doc_id", "text").collect()}
+    want = roots([i for i, _ in rows], [(a, b) for (a, s), (b, t) in itertools.combinations(rows, 2) if 5 * len(shingled(s) & shingled(t)) >= 4 * len(shingled(s) | shingled(t))])
+    assert all((at.get(to[a], to[a]) == at.get(to[b], to[b])) == (want[a] == want[b]) for a, b in itertools.combinations(to, 2))
+    counts = [x.value for x in read]
+    assert len(counts) > 2 and counts[1] > 360 and sum(counts[2:]) < counts[1] / 5
+
+
+def test_parts_meet_without_other_pairs(spark, monkeypatch):
+    """The only two copies lie in different parts of one long list, whose pivots are neither."""
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    rows = [(i, prose(14_000 + i, 100)) for i in range(15)]
+    rows.append((15, rows[0][1] + " and some more words"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = common.cut(simhash.shingle_sets(df).withColumn("keys", F.array(F.lit(7).cast("long"))).withColumn("blocks", F.array().cast("array<long>")))
+    to = {r.id: r.node for r in sets.collect()}
+    for most in (2, 3, 5):
+        at = {r.node: r.root for r in simhash.near_copies(sets, df, "doc_id", "text", most=most).collect()}
+        assert set(at) == {to[0], to[15]} and len(set(at.values())) == 1
