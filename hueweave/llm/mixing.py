@@ -8,16 +8,17 @@ probability of their cell and a hash of their id. Topics are a column of one's o
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hueweave.llm.common import arrow_map, cut, local_table, released, sampled_texts, slices, split_words
+from hueweave.llm.common import arrow_map, cut, local_table, released, slices, split_words
 from hueweave.llm.sharding import HASH_BITS, key_hash
 
 DIMS = ("source", "lang", "topic")
@@ -28,10 +29,16 @@ RATE, ROUNDS, TOLERANCE = 0.5, 300, 1e-7
 UNMET = 0.01
 #: Up to so many cells are raked on the driver and broadcast (about 10 MB); more are raked and joined as tables, in the same way.
 SMALL = 100_000
-#: Learnt topics, the texts that they are learnt from (those of smallest hash of the id; 8 MB of features), and buckets of words.
-TOPICS, SAMPLE, WORDS = 8, 4000, 512
+#: Learnt topics, buckets of words, and rounds of k-means at most.
+TOPICS, WORDS, FITS = 8, 512, 25
 #: Texts whose weighted words are held at once (2 MB).
 PART = 512
+#: Parts of 1 in which weighted words are summed, as whole numbers: sums are the same in any order, for up to 2^33 texts.
+UNITS = 1 << 30
+#: Texts a task at least, as a step takes some microseconds a text.
+STEP = 20_000
+#: Logarithms of the counts that fit in a byte.
+LOGS = np.log1p(np.arange(256.0))
 
 
 class Topics:
@@ -49,27 +56,17 @@ class Topics:
         return np.bincount(doc * (WORDS + 1) + own[at], minlength=len(texts) * (WORDS + 1)).reshape(len(texts), WORDS + 1)[:, :WORDS].astype(np.float64)
 
     def _unit(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weights
+        x = (LOGS[counts] if counts.dtype == np.uint8 else np.log1p(counts.astype(np.float64))) * self.weights
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
-    def fit(self, counts: np.ndarray, k: int = TOPICS, rounds: int = 25) -> Topics:
-        """counts: rows of sampled texts in a fixed order; the first centres lie farthest from each other."""
-        counts = counts[counts.sum(1) > 0]
-        if not len(counts):
-            return self
-        self.weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1e-3
-        x = self._unit(counts)
-        picked, near = [0], x @ x[0]
-        while len(picked) < min(k, len(x)):
-            picked.append(int(np.argmin(near)))
-            near = np.maximum(near, x @ x[picked[-1]])
-        centers = x[picked]
-        for _ in range(rounds):
-            at = np.argmax(x @ centers.T, axis=1)
-            sums = np.stack([x[at == i].sum(0) if (at == i).any() else centers[i] for i in range(len(centers))])
-            centers = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)
-        self.centers = centers
-        return self
+    def units(self, packed: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their weighted words) of counts as `packed`, a part at a time."""
+        width = pc.binary_length(packed).to_numpy(zero_copy_only=False)
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            for i in range(0, len(rows), PART):
+                at = rows[i : i + PART]
+                yield at, self._unit(unpacked(packed.take(pa.array(at)), w))
 
     def of(self, texts: pa.Array) -> list[str]:
         """The topic of each text; "none" without words. Equal texts have equal topics in any batch."""
@@ -82,12 +79,99 @@ class Topics:
         return [f"topic {i}" if n else "none" for i, n in zip(at, counts.sum(1).tolist(), strict=True)]
 
 
-def learn_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = TOPICS, sample: int = SAMPLE) -> Topics:
-    """Topics of at most `sample` texts, one each of the ids of smallest hash; none if no text has words."""
-    few = sampled_texts(docs, sample, id_col, text_col)
-    work = lambda c: {"h": c["h"], "x": pa.array([r.astype("<f4").tobytes() for r in Topics.counts(c["text"])], pa.binary())}
-    rows = sorted((r.h, r.x) for r in arrow_map(few, work, "h long, x binary").collect())
-    return Topics().fit(np.array([np.frombuffer(x, "<f4") for _, x in rows], np.float64).reshape(-1, WORDS), k)
+def packed(counts: np.ndarray) -> list[bytes]:
+    """Each row as the narrowest numbers that hold it."""
+    return [r.astype(np.min_scalar_type(int(m))).tobytes() for r, m in zip(counts, counts.max(1, initial=0).tolist(), strict=True)]
+
+
+def unpacked(rows: pa.Array, width: int) -> np.ndarray:
+    """Rows of `packed` of `width` bytes each."""
+    return np.frombuffer(b"".join(rows.to_pylist()), f"<u{width // WORDS}").reshape(-1, WORDS)
+
+
+def _summed(rows: DataFrame, work: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+    """The sums by number of what work gives for all batches, as long integers; the driver gets one row a number."""
+
+    def give(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["i", "x"])
+
+    def add(sums: dict[int, np.ndarray], i: int, x: np.ndarray) -> None:
+        sums[i] = sums[i] + x if i in sums else x
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for b in slices(whole):
+                for i, x in work(b):
+                    add(sums, i, x)
+        yield give(sums)
+
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                add(sums, i, np.frombuffer(x, "<i8"))
+        yield give(sums)
+
+    each = rows.mapInArrow(released(run), "i int, x binary").repartition(1).mapInArrow(total, "i int, x binary")  # some rows of 4 KB a task
+    return {r.i: np.frombuffer(r.x, "<i8") for r in each.collect()}
+
+
+def learn_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = TOPICS, rounds: int = FITS) -> Topics:
+    """Topics of all texts with words, each row one; none if there are none. The order of rows and their ids don't matter.
+
+    The counts of a text's words (mostly 512 bytes) are written down once, and every step reads all of them: how many texts have a
+    word, the first centres, which lie farthest from each other, and the rounds, which end when no centre moves.
+    """
+
+    def count(c: dict) -> dict:
+        own = Topics.counts(c["text"])
+        x = packed(own[own.sum(1) > 0])
+        return {"key": np.array([xxhash.xxh64_intdigest(r) for r in x], np.uint64).view(np.int64), "x": pa.array(x, pa.binary())}
+
+    rows = cut(arrow_map(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), count, "key long, x binary"))
+
+    def held(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        x = b.column("x")
+        for width in pc.unique(pc.binary_length(x)).to_pylist():
+            own = unpacked(x.filter(pc.equal(pc.binary_length(x), width)), width)
+            yield 0, np.append((own > 0).sum(0, dtype=np.int64), len(own))
+
+    found = _summed(rows, held).get(0)
+    if found is None:
+        return Topics()
+    rows = rows.coalesce(1 + int(found[-1]) // STEP)
+    model = Topics(np.log((1 + found[-1]) / (1 + found[:-1])) + 1e-3)
+
+    def farthest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each batch, the row that is least near to any centre, and of these the one of least key."""
+        for whole in batches:
+            for b in slices(whole):
+                near, key = np.zeros(b.num_rows), b.column("key").to_numpy()
+                for at, x in model.units(b.column("x")) if model.centers is not None else ():
+                    near[at] = np.round((x @ model.centers.T).max(1), 9)
+                best = np.lexsort((key, near))[:1]
+                yield pa.RecordBatch.from_arrays([pa.array(near[best]), pa.array(key[best]), b.column("x").take(pa.array(best))], names=["near", "key", "x"])
+
+    for _ in range(min(k, int(found[-1]))):
+        r = rows.mapInArrow(released(farthest), "near double, key long, x binary").orderBy("near", "key").first()
+        _, x = next(model.units(pa.array([r.x], pa.binary())))
+        model.centers = x if model.centers is None else np.concatenate((model.centers, x))
+
+    def gathered(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for _, x in model.units(b.column("x")):
+            at = np.argmax(np.round(x @ model.centers.T, 9), axis=1)
+            whole = np.rint(x * UNITS).astype(np.int64)
+            for i in np.unique(at).tolist():
+                yield i, whole[at == i].sum(0)
+
+    for _ in range(rounds):
+        before, sums = model.centers, _summed(rows, gathered)
+        own = np.stack([sums[i] / UNITS if i in sums else c for i, c in enumerate(before)])
+        model.centers = own / np.maximum(np.sqrt((own * own).sum(1, keepdims=True)), 1e-12)
+        if (model.centers == before).all():
+            break
+    return model
 
 
 def tokens(text: str = "text") -> Column:

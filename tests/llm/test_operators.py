@@ -623,6 +623,47 @@ def test_mixing_odd(spark, odd, none):
     assert {r.topic for r in named.collect()} == {"en", None}
 
 
+def brute_fit(texts, k=mixing.TOPICS):
+    """Centres and weights of spherical k-means over all texts at once."""
+    import numpy as np
+    import xxhash
+
+    counts = np.zeros((len(texts), mixing.WORDS))
+    for i, t in enumerate(texts):
+        for w in (t or "").split(" "):
+            if w.strip():
+                counts[i, xxhash.xxh32_intdigest(w.strip().lower()) % mixing.WORDS] += 1
+    counts = counts[counts.sum(1) > 0]
+    key = lambda c: np.uint64(xxhash.xxh64_intdigest(c.astype("u1" if c.max() < 256 else "<u2" if c.max() < 65_536 else "<u4").tobytes())).view(np.int64)
+    counts = counts[np.argsort([key(c) for c in counts])]
+    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1e-3
+    unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+    x = unit(np.log1p(counts) * weights)
+    centers = x[:1]
+    while len(centers) < min(k, len(x)):
+        centers = np.concatenate((centers, x[[np.argmin(np.round((x @ centers.T).max(1), 9))]]))
+    for _ in range(mixing.FITS):
+        at = np.argmax(np.round(x @ centers.T, 9), axis=1)
+        centers = unit(np.stack([x[at == i].sum(0) if (at == i).any() else c for i, c in enumerate(centers)]))
+    return weights, centers
+
+
+def test_topics_of_all_texts(spark):
+    """Over more texts than a sample once held, every text counts, in any order and number of partitions."""
+    import numpy as np
+
+    rng = random.Random(71)
+    rows = [(i, " ".join(rng.choice("abcdefgh"[g % 4 * 2 :][:2]) + str(rng.randrange(40)) for _ in range(rng.randint(3, 12)))) for i, g in enumerate(range(4500))]
+    rows += [(5000, "many " * 300 + "same"), (5001, "other " * 70_000), (5002, None), (5003, " \n "), (None, "no id here"), (3, "a1 b2 again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, again = mixing.learn_topics(df), mixing.learn_topics(df.orderBy(F.rand(5)).repartition(7))
+    weights, centers = brute_fit([t for _, t in rows])
+    assert (model.weights == again.weights).all() and (model.centers == again.centers).all()
+    assert np.allclose(model.weights, weights, rtol=1e-12) and np.allclose(model.centers, centers, atol=1e-6)
+    few = mixing.learn_topics(spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string"))
+    assert few.centers.shape == (1, mixing.WORDS) and mixing.learn_topics(df.limit(0)).centers is None
+
+
 def test_marginals_and_warnings(spark):
     cells = [("a", "x", "t", 900), ("a", "y", "t", 100), ("b", "x", "u", 1000)]
     with pytest.raises(ValueError, match="source"):
